@@ -5,7 +5,9 @@ sample in two levels and lists that would grow too long are split again. The
 centroids form an in-memory neighbour graph with the upper level as entry points;
 each vector walks it to its nearest centroids. A vector near the border of its
 list is replicated to every list whose centroid is within a distance ratio of the
-nearest one, and the same ratio, tighter, selects the lists in which it searches.
+nearest one, and a tighter ratio selects the lists in which it searches. Both ratios
+are set on the sample so that a vector is stored in ``COPIES`` lists and searches
+``SEARCHES`` on average, whatever the size of the collection.
 Inside a list, members are compared in blocks by matrix products.
 
 Exact copies of one vector can be a large share of the rows. Vectors with more
@@ -26,17 +28,14 @@ from pyspark.sql import functions as F
 
 from lotusflow.llm.common import arrow_map, sorted_groups, table
 
-#: Vectors of the sample for the centroids, at most; the driver holds this many.
-SAMPLE_ROWS = 200_000
+#: Vectors of the sample for the centroids, picked by the hash of their ids; the driver holds about this many.
+SAMPLE_ROWS = 150_000
 
 #: Vectors in a posting list before replication, on average.
-LIST_SIZE = 400
+LIST_SIZE = 1200
 
-#: Lists a vector is stored in, at most, and the ratio of squared distances to the nearest centroid.
-REPLICAS, STORE_RATIO = 6, 1.30
-
-#: Lists a vector searches in, at most, and their ratio.
-PROBES, SEARCH_RATIO = 5, 1.22
+#: Lists a vector is stored in, at most and on average, and lists it searches on average.
+REPLICAS, COPIES, SEARCHES = 8, 3.4, 3.3
 
 #: Neighbours of a centroid in the graph.
 DEGREE = 24
@@ -168,12 +167,21 @@ def fit_graph(sample: np.ndarray, lists: int, seed: int = 7) -> Graph:
     return Graph(entries, np.concatenate(centres))
 
 
+def fit_ratio(likeness: np.ndarray, average: float) -> float:
+    """The distance ratio within which ``average`` of the nearest centroids lie."""
+    if likeness.shape[1] < 2:
+        return 1.0
+    far = np.maximum(2 - 2 * likeness, 0)
+    ratios = (far / np.maximum(far[:, :1], 1e-9))[:, 1:].ravel()
+    return float(np.quantile(ratios, min(1.0, (average - 1) / (likeness.shape[1] - 1))))
+
+
 def _vectors(batch_column: pa.Array, dim: int) -> np.ndarray:
     flat = batch_column.flatten().to_numpy(zero_copy_only=False)
     return np.ascontiguousarray(flat, dtype=np.float32).reshape(-1, dim)
 
 
-def _assign(graph: Graph, dim: int, replicas: int, store_ratio: float, probes: int, search_ratio: float):
+def _assign(graph: Graph, dim: int, replicas: int, store_ratio: float, search_ratio: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -186,7 +194,7 @@ def _assign(graph: Graph, dim: int, replicas: int, store_ratio: float, probes: i
                 ratio = far / np.maximum(far[:, :1], 1e-9)
                 place = np.arange(ids.shape[1])[None, :]
                 stored = ((ratio <= store_ratio) | (place == 0)) & (ids >= 0)
-                searched = stored & ((ratio <= search_ratio) | (place == 0)) & (place < probes)
+                searched = stored & ((ratio <= search_ratio) | (place == 0))
                 rows, cols = np.nonzero(stored)
                 unit = part[rows]
                 offsets = np.arange(0, (len(rows) + 1) * dim, dim, dtype=np.int32)
@@ -220,9 +228,16 @@ def _search_lists(dim: int, k: int, min_cosine: float):
                 rows = asks[i : i + step]
                 likeness = x[rows] @ x.T
                 likeness[np.arange(len(rows)), rows] = -2
-                # Everything at least as similar as the k-th, so ties are kept whole.
-                kth = -np.partition(-likeness, min(k, len(x) - 1) - 1, axis=1)[:, min(k, len(x) - 1) - 1]
-                floor = np.maximum(kth, min_cosine) - 2e-6
+                # Everything at least as similar as the k-th, so ties are kept whole. Rows
+                # with few members above the minimum need no search for their k-th.
+                floor = np.full(len(rows), min_cosine - 2e-6, np.float32)
+                if min_cosine > -1:
+                    many = np.flatnonzero(np.count_nonzero(likeness >= floor[0], axis=1) > k)
+                else:
+                    many = np.arange(len(rows))
+                if len(many) and len(x) > k:
+                    kth = -np.partition(-likeness[many], k - 1, axis=1)[:, k - 1]
+                    floor[many] = np.maximum(kth - 2e-6, floor[many])
                 r, c = np.nonzero(likeness >= floor[:, None])
                 if not len(r):
                     continue
@@ -272,9 +287,8 @@ def similar_vectors(
     list_size: int = LIST_SIZE,
     sample_rows: int = SAMPLE_ROWS,
     replicas: int = REPLICAS,
-    store_ratio: float = STORE_RATIO,
-    probes: int = PROBES,
-    search_ratio: float = SEARCH_RATIO,
+    copies: float = COPIES,
+    searches: float = SEARCHES,
     hot_copies: int = 64,
 ) -> DataFrame:
     """``(id, rank, other, cosine)``: the k most similar other rows of each row.
@@ -296,14 +310,16 @@ def similar_vectors(
     hot = counted.groupBy("copy").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("keeper")).where(F.col("n") > hot_copies)
     hot_rows = hot.select("copy", "keeper").collect()
 
-    share = min(1.0, 1.2 * min(sample_rows, rows) / rows)
+    share = min(1.0, sample_rows / rows)
     picked = usable if share >= 1 else usable.where(
         F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))
     )
-    arrow = picked.limit(sample_rows).select("vector").toArrow()
+    arrow = picked.select("vector").toArrow()
     sample = _unit(_vectors(arrow.column("vector").combine_chunks(), dim))
     graph = fit_graph(sample, max(1, rows // list_size))
-    del arrow, sample
+    _, likeness = graph.search(sample[:: max(1, len(sample) // 20_000)], replicas)
+    store_ratio, search_ratio = fit_ratio(likeness, copies), fit_ratio(likeness, searches)
+    del arrow, sample, likeness
 
     entering = usable
     if hot_rows:
@@ -313,7 +329,7 @@ def similar_vectors(
         entering = marked.where("keeper is null or keeper = id").select("id", "vector")
     placed = arrow_map(
         entering,
-        _assign(graph, dim, replicas, store_ratio, probes, search_ratio),
+        _assign(graph, dim, replicas, store_ratio, search_ratio),
         "list int, searches boolean, id string, vector array<float>",
     )
     # Two repeated rows of one key land in the same lists; one of them is enough.
