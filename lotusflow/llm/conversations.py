@@ -215,8 +215,8 @@ def conversation_messages(turns: DataFrame, sessions: DataFrame, block: int = BL
             F.col("answer").alias("content"),
         ),
     )
-    return kept.select("session_id", F.col("id").alias("turn_id"), "created_at", F.explode(messages).alias("m")).select(
-        "session_id", "m.message_no", "m.role", "m.content", "turn_id", "created_at"
+    return kept.select("session_id", F.col("id").alias("turn_id"), F.unix_micros("created_at").alias("created_us"), F.explode(messages).alias("m")).select(
+        "session_id", "m.message_no", "m.role", "m.content", "turn_id", "created_us"
     )
 
 
@@ -268,7 +268,7 @@ t AS (
   SELECT * FROM v
   QUALIFY row_number() OVER (PARTITION BY id ORDER BY has_a DESC, created_at DESC NULLS LAST, has_q DESC, turn_no DESC NULLS LAST) = 1),
 g AS (SELECT * FROM t WHERE has_q AND has_a AND session_id NOT IN (SELECT session_id FROM bad))
-SELECT session_id, CAST(turn_no * 2 - 1 AS BIGINT) AS message_no, 'user' AS role, question AS content, id AS turn_id, created_at FROM g
+SELECT session_id, CAST(turn_no * 2 - 1 AS BIGINT) AS message_no, 'user' AS role, question AS content, id AS turn_id, epoch_us(created_at) AS created_us FROM g
 UNION ALL
-SELECT session_id, CAST(turn_no * 2 AS BIGINT), 'assistant', answer, id, created_at FROM g
+SELECT session_id, CAST(turn_no * 2 AS BIGINT), 'assistant', answer, id, epoch_us(created_at) FROM g
 """
