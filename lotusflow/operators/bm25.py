@@ -14,10 +14,23 @@ from lotusflow.functions.fixed import BM25_B, BM25_K, LEG_TOP_K
 
 
 def term_frequencies(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, term, tf, length)``; texts without a word give no row."""
-    words = texts.select(key, T.terms(F.col(text)).alias("words"))
-    exploded = words.select(key, F.size("words").alias("length"), F.explode("words").alias("term"))
-    return exploded.groupBy(key, "term", "length").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    """``(key, term, tf, length)``; texts without a word give no row.
+
+    The words of a text are sorted inside its row and counted by runs, so no
+    shuffle is needed: each row of ``texts`` gives its own terms.
+    """
+    words = texts.select(key, F.sort_array(T.terms(F.col(text))).alias("w"))
+    n = F.size("w")
+    # No filter on the number of words: it would be pushed below and sort them twice.
+    heads = F.filter(
+        F.sequence(F.lit(0), n), lambda i: (i < n) & ((i == 0) | (F.get("w", i) != F.get("w", i - 1)))
+    )
+    marked = words.select(key, "w", heads.alias("h"))
+    runs = F.transform(
+        "h",
+        lambda s, j: F.struct(F.get("w", s).alias("term"), (F.coalesce(F.get("h", j + 1), F.size("w")) - s).alias("tf")),
+    )
+    return marked.select(key, F.size("w").alias("length"), F.explode(runs).alias("r")).select(key, "r.term", "r.tf", "length")
 
 
 def corpus_stats(texts: DataFrame, text: str) -> DataFrame:

@@ -38,6 +38,16 @@ def arrow_map(
     return df.mapInArrow(function, schema)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores, where the input has fewer partitions than cores.
+
+    For operators that spend far more on a row than it costs to move it; a large
+    input already has enough partitions and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
