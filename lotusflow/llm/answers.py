@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotusflow.llm.common import HAS_TEXT, arrow_map, has_text, table
+from lotusflow.llm.common import HAS_TEXT, arrow_map, has_text, spread, table
 from lotusflow.llm.crf import ChainCRF
 
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
@@ -626,7 +626,7 @@ def tag_answers(pairs: DataFrame, tagger: Tagger) -> DataFrame:
     kinds = dict(pairs.dtypes)
     keep = [c for c in pairs.columns if c not in ("question", "answer", "defect")]
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["defect string"])
-    return arrow_map(pairs.select(*keep, "question", "answer"), _tag_batches(tagger, keep), schema)
+    return arrow_map(spread(pairs.select(*keep, "question", "answer")), _tag_batches(tagger, keep), schema)
 
 
 def sample_pairs(turns: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:

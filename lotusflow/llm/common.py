@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotusflow.runtime import arrow_map, materialize, shared_dir  # noqa: F401
+from lotusflow.runtime import arrow_map, materialize, shared_dir, spread  # noqa: F401
 
 #: A text counts as present when it has at least one letter or digit.
 HAS_TEXT = r"[\p{L}\p{N}]"

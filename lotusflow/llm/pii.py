@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lotusflow.llm import pii_phrases as words
 from lotusflow.llm.answers import fold
-from lotusflow.llm.common import arrow_map, table
+from lotusflow.llm.common import arrow_map, spread, table
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 
@@ -616,7 +616,7 @@ def find_personal(df: DataFrame, key: str, text: str, recognizer: Recognizer | N
     rows give repeated items. Other columns are left out.
     """
     run, schema = _find_batches(recognizer or train_recognizer(), key, dict(df.dtypes)[key])
-    return arrow_map(df.select(key, df[text].alias("text")), run, schema)
+    return arrow_map(spread(df.select(key, df[text].alias("text"))), run, schema)
 
 
 def mask_personal(df: DataFrame, key: str, text: str, recognizer: Recognizer | None = None) -> DataFrame:
@@ -632,7 +632,7 @@ def mask_personal(df: DataFrame, key: str, text: str, recognizer: Recognizer | N
             made = pa.array([recognizer.mask(t) for t in batch.column("text").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(key), made], names=[key, "text"])
 
-    return arrow_map(df.select(key, df[text].alias("text")), run, f"`{key}` {kind}, text string")
+    return arrow_map(spread(df.select(key, df[text].alias("text"))), run, f"`{key}` {kind}, text string")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
