@@ -28,7 +28,7 @@ from lotusflow.llm.crf import ChainCRF
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 
 #: Pairs of the corpus the tagger is trained on, at most.
-SAMPLE_ROWS = 3_000
+SAMPLE_ROWS = 2_500
 
 #: Hashed word features.
 BUCKETS = 1 << 16
@@ -121,7 +121,7 @@ There is no bus to {x}, so take the boat.
 """
 
 #: Openings that carry no content, for training.
-OPENINGS = ("", "", "", "Chào bạn! ", "Dạ vâng, ", "Cảm ơn bạn đã hỏi. ", "Hello! ", "Thank you for asking. ", "Vâng, ", "Dạ, ")
+OPENINGS = ("", "", "", "Chào bạn! ", "Vâng ạ. ", "Chào bạn! ", "Dạ vâng ạ. ", "Xin chào. ", "Dạ vâng, ", "Cảm ơn bạn đã hỏi. ", "Hello! ", "Thank you for asking. ", "Vâng, ", "Dạ, ")
 
 #: Sentences for the tag foreign, by language, for training.
 SENTENCES = {
@@ -130,10 +130,10 @@ SENTENCES = {
     "fr": "La route vers {x} est tranquille et on y trouve de bons restaurants.|Il faut visiter {x} le matin, quand il fait frais.|Le billet pour {x} coûte 50.000 đồng par personne.",
     "de": "Die Straße nach {x} ist ruhig und es gibt viele Lokale.|Am besten besucht man {x} am Morgen, wenn die Luft kühl ist.",
     "es": "El camino a {x} es tranquilo y hay muchos lugares para comer.|La entrada a {x} cuesta 50.000 đồng por persona.",
-    "ru": "Дорога до {x} спокойная, по пути много кафе.|Лучше приехать в {x} утром, когда прохладно.",
-    "zh": "去{x}的路很安静，路边有很多小吃。|早上去{x}最好，天气凉爽。",
-    "ja": "{x}までの道は静かで、食べる所もたくさんあります。|{x}へは涼しい朝に行くのがおすすめです。",
-    "ko": "{x}까지 가는 길은 조용하고 식당이 많습니다.|{x}에는 시원한 아침에 가는 것이 좋습니다.",
+    "ru": "Дорога до {x} спокойная, по пути много кафе.|Лучше приехать в {x} утром, когда прохладно.|Билет стоит 50.000 đồng на человека.",
+    "zh": "去{x}的路很安静，路边有很多小吃。|早上去{x}最好，天气凉爽。|门票每人50.000 đồng，孩子半价。|雨季以后来这里最好。",
+    "ja": "{x}までの道は静かで、食べる所もたくさんあります。|{x}へは涼しい朝に行くのがおすすめです。|入場料は一人50.000 đồngです。|朝の市場には果物が並びます。",
+    "ko": "{x}까지 가는 길은 조용하고 식당이 많습니다.|{x}에는 시원한 아침에 가는 것이 좋습니다.|입장료는 한 사람에 50.000 đồng입니다.|아침 시장에는 과일이 많습니다.",
 }
 
 #: Frames around a repeated question, for training.
@@ -439,7 +439,7 @@ def _training_pairs(rows: list[tuple[str, str]], rng: np.random.Generator) -> li
     lines = lambda s: [x for x in s.strip().split("\n") if x]
     pick = lambda seq: seq[int(rng.integers(len(seq)))]
     plain = lambda s: "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c)).replace("đ", "d").replace("Đ", "D")
-    cues = re.compile(r"xin l[oỗ]i|kh[oô]ng (?:th[eể]|bi[eế]t|[đd][uủ]|c[oó])|t[uừ] ch[oố]i|r[aấ]t ti[eế]c|ngo[aà]i ph[aạ]m vi|sorry|cannot|can't|unable|decline|say nothing|kh[oô]ng [đd][uượơ]+c ph[eé]p|kh[oô]ng [đd][eề] c[aậ]p", re.IGNORECASE)
+    cues = re.compile(r"xin l[oỗ]i|kh[oô]ng (?:th[eể]|bi[eế]t|[đd][uủ]|c[oó])|t[uừ] ch[oố]i|r[aấ]t ti[eế]c|ngo[aà]i ph[aạ]m vi|ch[uư]a (?:t[iì]m th[aấ]y|[đd][uư][oợ]c cung c[aấ]p|c[oó] th[oô]ng tin)|xin ph[eé]p|kh[oô]ng t[uư] v[aấ]n|kh[oô]ng r[oõ]|outside (?:what|the)|could not find|not able|apolog|sorry|cannot|can't|unable|decline|say nothing|kh[oô]ng [đd][uượơ]+c ph[eé]p|kh[oô]ng [đd][eề] c[aậ]p", re.IGNORECASE)
     questions = [q for q, _ in rows if re.search(r"\w", q)] or ["Vé vào cổng giá bao nhiêu?", "How much is the ticket?"]
     places = sorted({m for q in questions for m in re.findall(r"(?:[A-ZĐ][^\W\d_]*\s){1,2}[A-ZĐÁÂẤẨỔỐÔ][^\W\d_]*", q)}) or ["Hồ Xanh"]
     phrases = [m for _, a in rows for m in re.findall(r"[,:] (\w+ \w+(?: \w+)?)(?=,| và| and)", a)] or ["chè bắp", "xôi sen"]
@@ -449,6 +449,8 @@ def _training_pairs(rows: list[tuple[str, str]], rng: np.random.Generator) -> li
         if not complete.search(a) or a.rstrip().endswith(("...", "…")) or cues.search(a):
             continue
         made.append((q, a, ANSWER, True))
+        if rng.random() < 0.5:
+            made.append((q, pick(OPENINGS) + a, ANSWER, True))
         bare = re.sub(r"[\s.!。]+$", "", complete.sub("", a))
         if bare.strip():
             made.append((q, bare, ANSWER, True))
@@ -480,17 +482,18 @@ def _training_pairs(rows: list[tuple[str, str]], rng: np.random.Generator) -> li
         if home and rng.random() < 0.4:
             made.append((q, pick(phrases) + pick((" và ", ", ", " hoặc ")) + pick(phrases), ANSWER, True))
         if home and rng.random() < 0.5:
-            made.append((q, pick(("Có, từ tháng 3 trở đi", "Khoảng 20 km", "9 giờ 30", "50.000 đồng", pick(places) + " nhé bạn", "Đi phà rồi đi bộ 9 phút 🙂", "xôi sen và chè bắp")), ANSWER, True))
+            made.append((q, pick(("Có, từ tháng 3 trở đi", "Khoảng 20 km", "9 giờ 30", "50.000 đồng", "50,000 VND", "120k", pick(places) + " nhé bạn", "Đi phà rồi đi bộ 9 phút 🙂", "xôi sen và chè bắp")), ANSWER, True))
         asks = {k for k in ASKED if re.search(ASKED[k], q, re.IGNORECASE)}
         for text, tag, times in ((REFUSALS, REFUSAL, 0.9), (NOT_REFUSALS, ANSWER, 0.6)):
             if rng.random() < times:
                 # A sound answer speaks the language of the question.
-                some = [x for x in lines(text) if tag == REFUSAL or x.isascii() == (home is None)]
+                own = [x for x in lines(text) if x.isascii() == (home is None)]
+                some = lines(text) if tag == REFUSAL and rng.random() < 0.08 else own
                 line = pick(some).format(x=pick(places))
                 if rng.random() < 0.15:
                     line = plain(line)
                 made.append((q, pick(OPENINGS) + line, tag, True))
-        if home and rng.random() < 0.7:
+        if home and rng.random() < 0.9:
             language = pick([k for k in SENTENCES if k != home and k not in asks])
             some = SENTENCES[language].split("|")
             made.append((q, pick(OPENINGS) + " ".join(pick(some).format(x=pick(places)) for _ in range(int(rng.integers(1, 4)))), FOREIGN, True))
