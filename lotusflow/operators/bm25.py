@@ -41,13 +41,10 @@ def corpus_stats(texts: DataFrame, text: str) -> DataFrame:
 
 
 def term_stats(frequencies: DataFrame, stats: DataFrame) -> DataFrame:
-    """``(term, df, idf)``."""
+    """``(term, df, idf)``; the one row of ``stats`` is read first and enters as a literal."""
     counted = frequencies.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = F.col("total_docs")
-    # One row on the right: a broadcast of a fixed size.
-    return counted.crossJoin(F.broadcast(stats)).select(
-        "term", "df", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf")
-    )
+    n = F.lit(stats.first()["total_docs"])
+    return counted.select("term", "df", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
 
 
 def with_term_ids(stats: DataFrame) -> DataFrame:
@@ -75,10 +72,9 @@ def weight(tf: Column, length: Column, idf: Column, avg_len: Column, k: float =
 
 def encode(frequencies: DataFrame, terms: DataFrame, stats: DataFrame, key: str) -> DataFrame:
     """Postings ``(key, term, weight)``; words outside the vocabulary are dropped."""
-    return (
-        frequencies.join(terms.select("term", "idf"), "term")
-        .crossJoin(F.broadcast(stats))
-        .select(key, "term", weight(F.col("tf"), F.col("length"), F.col("idf"), F.col("avg_len")).alias("weight"))
+    average = F.lit(stats.first()["avg_len"]).cast("double")
+    return frequencies.join(terms.select("term", "idf"), "term").select(
+        key, "term", weight(F.col("tf"), F.col("length"), F.col("idf"), average).alias("weight")
     )
 
 
@@ -115,7 +111,8 @@ def search_texts(texts: DataFrame, key: str, text: str, queries: DataFrame, k: i
     come from all of them.
     """
     frequencies = term_frequencies(texts, key, text)
-    stats = corpus_stats(texts, text)
+    # Read once; both encodings take it as a literal.
+    stats = texts.sparkSession.createDataFrame([corpus_stats(texts, text).first()], "total_docs long, avg_len double")
     vocabulary = term_stats(frequencies, stats)
     asked = term_frequencies(queries, "query_id", "query")
     # Only words of the queries can score.

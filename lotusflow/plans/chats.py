@@ -71,9 +71,8 @@ def duplicate_turns(spark: SparkSession, sf: str) -> DataFrame:
 def session_gc(spark: SparkSession, sf: str) -> DataFrame:
     """Sessions to expire a day after the latest activity of all."""
     sessions = table(spark, sf, "chat_sessions").select("session_id", "last_active_at").distinct()
-    now = sessions.agg(F.max("last_active_at").alias("now"))
-    idle = sessions.crossJoin(F.broadcast(now))
-    return memory.expired_sessions(idle, turns(spark, sf), F.col("now")).select("session_id", F.unix_micros("last_active_at").alias("last_active"))
+    now = sessions.agg(F.unix_micros(F.max("last_active_at")).alias("now")).first()["now"]
+    return memory.expired_sessions(sessions, turns(spark, sf), F.timestamp_micros(F.lit(now).cast("long"))).select("session_id", F.unix_micros("last_active_at").alias("last_active"))
 
 
 def deleted_sessions(spark: SparkSession, sf: str) -> DataFrame:

@@ -102,17 +102,16 @@ def keyed_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """The first half of the events as a table per user and type, changed by the latest of the second half."""
     events = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
     last = lambda df: indexing.latest(df, ["user_id", "event_type"], F.desc("at_us"), F.desc("event_id"))
-    middle = events.agg(F.avg("event_id").alias("m"))
-    split = events.crossJoin(F.broadcast(middle))
-    before, after = (split.where(c).drop("m") for c in ("event_id < m", "event_id >= m"))
+    middle = events.agg(F.avg("event_id").alias("m")).first()["m"]
+    before, after = events.where(F.col("event_id") < F.lit(middle)), events.where(F.col("event_id") >= F.lit(middle))
     return indexing.upsert(last(before), last(after), ["user_id", "event_type"])
 
 
 def payload_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Entries per intent that a filter on the payload lets through."""
     chunks = table(spark, sf, "chunks").select("id", "is_reference_section", "section_title").distinct()
-    intents = spark.createDataFrame([(i,) for i in ("factual", "recommendation", "comparison", "list", "procedural", "booking")], "intent string")
-    kept = chunks.crossJoin(F.broadcast(intents)).where(retrieval.intent_filter(F.col("intent"), F.col("is_reference_section")))
+    intents = F.array(*[F.lit(i) for i in ("factual", "recommendation", "comparison", "list", "procedural", "booking")])
+    kept = chunks.withColumn("intent", F.explode(intents)).where(retrieval.intent_filter(F.col("intent"), F.col("is_reference_section")))
     return kept.where(retrieval.payload_filter({"section_title": "Lưu trú"}) | F.col("is_reference_section")).groupBy("intent").agg(F.count(F.lit(1)).alias("n"))
 
 

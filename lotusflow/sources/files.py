@@ -71,10 +71,9 @@ def parse_event_lines(lines: DataFrame) -> DataFrame:
     """Tokens of event lines ``(line_no, line)``; broken JSON and lines without a choice give nothing."""
     payload = F.regexp_extract("line", r"^data: ?(.*)$", 1)
     data = lines.where(F.startswith("line", F.lit("data:"))).withColumn("payload", T.strip(payload))
-    end = data.where("payload = '[DONE]'").agg(F.min("line_no").alias("end"))
-    parsed = data.crossJoin(F.broadcast(end)).where("end is null or line_no < end").withColumn(
-        "token", F.get_json_object("payload", "$.choices[0].delta.content")
-    )
+    end = data.where("payload = '[DONE]'").agg(F.min("line_no").alias("end")).first()["end"]
+    before = data if end is None else data.where(F.col("line_no") < end)
+    parsed = before.withColumn("token", F.get_json_object("payload", "$.choices[0].delta.content"))
     return parsed.where(F.length("token") > 0).select("line_no", "token")
 
 
