@@ -163,6 +163,12 @@ Compared with {L}, {L} is calmer but has fewer places to eat.
 A night train reaches {G} early, so plan breakfast near the station.
 From the ridge at 953 m you can see {L} and the rice fields below.
 {L} se trouve à {M} km du centre de {G}, au bout d'une route tranquille.
+{L} находится примерно в {M} км от центра города {G}, дорога спокойная.
+Поезд в {G} приходит рано. На рынке у {L} продают овощи.
+{L} está a unos {M} km del centro de {G} y el camino es tranquilo.
+{L}は{G}の中心から約{M}キロの場所にあり、静かな道が続きます。
+{L}는 {G} 중심에서 약 {M}킬로미터 떨어져 있으며 길이 조용합니다.
+{L}距离{G}市中心大约{M}公里，道路安静好走。
 {L} liegt etwa {M} km westlich von {G} und ist mit dem Boot gut zu erreichen.
 Bãi Biển Xanh và Phố Đi Bộ mở cửa tới 22 giờ.
 Ban quản lý {L} thông báo đóng cửa {M} ngày.
