@@ -335,16 +335,34 @@ def similar_vectors(
     # Two repeated rows of one key land in the same lists; one of them is enough.
     listed = placed.repartition("list").sortWithinPartitions("list", "id")
     unique = _drop_repeats(listed)
-    answers = arrow_map(
-        unique, _search_lists(dim, k, min_cosine), "id string, other array<string>, cosine array<double>"
-    ).select("id", F.explode(F.arrays_zip("other", "cosine")).alias("m")).select("id", "m.other", "m.cosine")
-    if hot_rows:
-        answers = _expand_hot(answers, counted, keepers, k, min_cosine)
-    best = answers.where("id <> other").groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
+    answers = arrow_map(unique, _search_lists(dim, k, min_cosine), "id string, other array<string>, cosine array<double>")
+    if not hot_rows:
+        return _best_of_lists(answers, k)
+    flat = answers.select("id", F.explode(F.arrays_zip("other", "cosine")).alias("m")).select("id", "m.other", "m.cosine")
+    spread_out = _expand_hot(flat, counted, keepers, k, min_cosine)
+    best = spread_out.where("id <> other").groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
     order = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("id", "rank", "other", "cosine")
 
 
+def _best_of_lists(answers: DataFrame, k: int) -> DataFrame:
+    """The best k of the answers that the lists of a vector gave.
+
+    A vector searches a bounded number of lists and each gives at most k answers, so
+    they meet as one short array per vector; no row per pair is shuffled.
+    """
+    pairs = F.arrays_zip(F.transform("cosine", lambda c: -c).alias("away"), F.col("other").alias("other"))
+    met = answers.select("id", F.transform(pairs, lambda x: F.struct(x["away"].alias("away"), x["other"].alias("other"))).alias("m")).groupBy("id").agg(
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("m")))).alias("m")
+    )
+    names = met.select("id", F.filter("m", lambda x: x["other"] != F.col("id")).alias("m"))
+    names = names.select("id", "m", F.transform("m", lambda x: x["other"]).alias("o"))
+    once = F.filter("m", lambda x, i: F.array_position("o", x["other"]) == i + 1)
+    return names.select("id", F.posexplode(F.slice(once, 1, k)).alias("at", "m")).select(
+        "id", (F.col("at") + 1).alias("rank"), F.col("m.other").alias("other"), (-F.col("m.away")).alias("cosine")
+    )
+
+
 def _drop_repeats(sorted_rows: DataFrame) -> DataFrame:
     """Remove rows that repeat the row before them in list and id, in a sorted partition."""
 
