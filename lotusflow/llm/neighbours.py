@@ -6,8 +6,9 @@ centroids form an in-memory neighbour graph with the upper level as entry points
 each vector walks it to its nearest centroids. A vector near the border of its
 list is replicated to every list whose centroid is within a distance ratio of the
 nearest one, and a tighter ratio selects the lists in which it searches. Both ratios
-are set on the sample so that a vector is stored in ``COPIES`` lists and searches
-``SEARCHES`` on average, whatever the size of the collection.
+are set on the sample, per entry point and never below those of the whole sample, so
+that the vectors of every region are stored in at least ``COPIES`` lists and search
+``SEARCHES`` on average: a dense group takes no lists from the others.
 Inside a list, members are compared in blocks by matrix products.
 
 Exact copies of one vector can be a large share of the rows. Vectors with more
@@ -34,7 +35,7 @@ SAMPLE_ROWS = 150_000
 #: Vectors in a posting list before replication, on average.
 LIST_SIZE = 1200
 
-#: Lists a vector is stored in, at most and on average, and lists it searches on average.
+#: Lists a vector is stored in, at most and on average at least, and lists it searches on average at least.
 REPLICAS, COPIES, SEARCHES = 8, 3.4, 3.3
 
 #: Neighbours of a centroid in the graph.
@@ -176,12 +177,27 @@ def fit_ratio(likeness: np.ndarray, average: float) -> float:
     return float(np.quantile(ratios, min(1.0, (average - 1) / (likeness.shape[1] - 1))))
 
 
+def fit_ratios(graph: Graph, ids: np.ndarray, likeness: np.ndarray, average: float) -> np.ndarray:
+    """The distance ratio of each centroid, for vectors nearest to it.
+
+    It lets the sampled vectors of its entry point reach ``average`` lists. Where
+    that is less than the whole sample needs, as in a dense group, the ratio of the
+    whole sample holds, so no region gets fewer lists than by one ratio for all.
+    """
+    region = _nearest(graph.centres, graph.entries)
+    ratios = np.full(len(graph.centres), fit_ratio(likeness, average))
+    at = region[ids[:, 0]]
+    for e in np.unique(at):
+        ratios[region == e] = np.maximum(ratios[region == e], fit_ratio(likeness[at == e], average))
+    return ratios
+
+
 def _vectors(batch_column: pa.Array, dim: int) -> np.ndarray:
     flat = batch_column.flatten().to_numpy(zero_copy_only=False)
     return np.ascontiguousarray(flat, dtype=np.float32).reshape(-1, dim)
 
 
-def _assign(graph: Graph, dim: int, replicas: int, store_ratio: float, search_ratio: float):
+def _assign(graph: Graph, dim: int, replicas: int, store_ratios: np.ndarray, search_ratios: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -193,8 +209,9 @@ def _assign(graph: Graph, dim: int, replicas: int, store_ratio: float, search_ra
                 far = np.maximum(2 - 2 * likeness, 0)
                 ratio = far / np.maximum(far[:, :1], 1e-9)
                 place = np.arange(ids.shape[1])[None, :]
-                stored = ((ratio <= store_ratio) | (place == 0)) & (ids >= 0)
-                searched = stored & ((ratio <= search_ratio) | (place == 0))
+                nearest = ids[:, :1]
+                stored = ((ratio <= store_ratios[nearest]) | (place == 0)) & (ids >= 0)
+                searched = stored & ((ratio <= search_ratios[nearest]) | (place == 0))
                 rows, cols = np.nonzero(stored)
                 unit = part[rows]
                 offsets = np.arange(0, (len(rows) + 1) * dim, dim, dtype=np.int32)
@@ -317,9 +334,11 @@ def similar_vectors(
     arrow = picked.select("vector").toArrow()
     sample = _unit(_vectors(arrow.column("vector").combine_chunks(), dim))
     graph = fit_graph(sample, max(1, rows // list_size))
-    _, likeness = graph.search(sample[:: max(1, len(sample) // 20_000)], replicas)
-    store_ratio, search_ratio = fit_ratio(likeness, copies), fit_ratio(likeness, searches)
-    del arrow, sample, likeness
+    # Some hundred vectors for every entry point.
+    wanted = max(20_000, 256 * len(graph.entries))
+    ids, likeness = graph.search(sample[:: max(1, len(sample) // wanted)], replicas)
+    store_ratios, search_ratios = (fit_ratios(graph, ids, likeness, n) for n in (copies, searches))
+    del arrow, sample, ids, likeness
 
     entering = usable
     if hot_rows:
@@ -329,7 +348,7 @@ def similar_vectors(
         entering = marked.where("keeper is null or keeper = id").select("id", "vector")
     placed = arrow_map(
         entering,
-        _assign(graph, dim, replicas, store_ratio, search_ratio),
+        _assign(graph, dim, replicas, store_ratios, search_ratios),
         "list int, searches boolean, id string, vector array<float>",
     )
     # Two repeated rows of one key land in the same lists; one of them is enough.

@@ -56,6 +56,23 @@ def test_recall_over_many_lists(spark):
     assert hits / (5 * len(sample)) >= 0.9
 
 
+def test_a_dense_group_takes_no_lists_from_the_others(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16))
+    others = [(centres[i % 40] + rng.normal(size=16)).astype("float32") for i in range(4000)]
+    one = rng.normal(size=16) * 2
+    dense = [(one + 0.1 * rng.normal(size=16)).astype("float32") for _ in range(2000)]
+    x = np.array(others + dense)
+    df = spark.createDataFrame([(f"{i:05d}", v.tolist()) for i, v in enumerate(x)], "key string, v array<float>")
+    got = {}
+    for r in neighbours.similar_vectors(df, "key", "v", 16, 5, list_size=60).collect():
+        got.setdefault(int(r.id), set()).add(int(r.other))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    like = x[:4000:10] @ x.T
+    hits = sum(len({int(j) for j in np.argsort(-row)[:6] if j != i} & got[i]) for i, row in zip(range(0, 4000, 10), like, strict=True))
+    assert hits / (5 * len(like)) >= 0.92
+
+
 def test_hot_copies_meet_without_their_group(spark):
     rng = np.random.default_rng(6)
     vectors = {f"h{i:03d}": [1.0, 2.0, 3.0, 4.0] for i in range(100)} | {f"r{i:03d}": rng.normal(size=4).astype("float32").tolist() for i in range(50)}
