@@ -89,9 +89,11 @@ def _is_invisible(c: str) -> bool:
 def build_classes(frequency: dict[str, int]) -> dict[str, str]:
     """Rewriting rules of a corpus: each string to the representative of its class.
 
-    ``frequency`` counts the code points of the corpus. Representatives are the
-    most frequent single code points (the smaller code point on a tie); a class
-    with the empty string is represented by it.
+    ``frequency`` counts the code points of the corpus. Classes of letters and marks
+    without parts come first: their most frequent code point represents them (the
+    smaller one on a tie), and a class with the empty string is represented by it.
+    Accented letters and other strings with parts are represented by the
+    representatives of their parts, so every right-hand side is in final form.
     """
     shape = _shape_of()
     classes = Classes()
@@ -122,11 +124,24 @@ def build_classes(frequency: dict[str, int]) -> dict[str, str]:
         classes.join(plain, alike)
         classes.join(alike, unicodedata.normalize("NFC", alike))
     rules: dict[str, str] = {}
-    for members in classes.groups().values():
-        if "" in members:
-            best = ""
-        else:
-            best = min(members, key=lambda m: (-frequency.get(m, 0), len(m), m))
+    groups = classes.groups()
+    final: dict[str, str] = {}
+
+    def represent(root: str) -> str:
+        if root not in final:
+            members = groups[root]
+            parts = [p for p in (unicodedata.normalize("NFD", m) for m in members) if len(p) > 1 and p not in _LINE_ENDS]
+            if "" in members:
+                final[root] = ""
+            elif parts:
+                final[root] = unicodedata.normalize("NFC", "".join(represent(classes.find(c)) if c in classes.parent else c for c in min(parts)))
+            else:
+                single = [m for m in members if len(m) == 1 and unicodedata.normalize("NFD", m) == m]
+                final[root] = min(single, key=lambda m: (-frequency.get(m, 0), m))
+        return final[root]
+
+    for root, members in groups.items():
+        best = represent(root)
         for m in members:
             if m and m != best:
                 rules[m] = best
