@@ -11,9 +11,8 @@ from lotusflow.plans.tables import documents, sql, table, turns
 
 
 def normalized_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """Raw documents normalized, as far as the table of normalized documents goes."""
-    there = table(spark, sf, "normalized_documents").select("document_id").distinct()
-    made = chunking.normalize_documents(table(spark, sf, "raw_documents")).join(there, "document_id", "left_semi")
+    """All raw documents normalized, also those the table of normalized documents lacks."""
+    made = chunking.normalize_documents(table(spark, sf, "raw_documents"))
     return made.select("document_id", "source_id", "title", "content").distinct()
 
 

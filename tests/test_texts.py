@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from lotusflow.functions import text as T
 from lotusflow.operators import chunking
+from lotusflow.plans import texts
 
 
 def one(spark, expression, **values):
@@ -36,6 +37,16 @@ def test_normalization(spark):
     assert one(spark, T.normalize_text(F.col("t")), t=None) == ""
 
 
+def test_documents_not_yet_normalized_are_normalized_too(spark, tmp_path):
+    raw = "document_id string, source_id string, title string, raw_content string, metadata map<string,string>"
+    done = "document_id string, source_id string, title string, content string, metadata map<string,string>"
+    rows = [("a", "s", " A ", "x\t\ty", None), ("b", "s", "B", "ｆｕｌｌ\r\nz", None), ("b", "s", "B", "ｆｕｌｌ\r\nz", None), ("c", None, None, None, None)]
+    spark.createDataFrame(rows, raw).write.parquet(f"{tmp_path}/raw_documents.parquet")
+    spark.createDataFrame([("a", "s", "A", "x y", None)], done).write.parquet(f"{tmp_path}/normalized_documents.parquet")
+    got = {tuple(r) for r in texts.normalized_texts(spark, str(tmp_path)).collect()}
+    assert got == {("a", "s", "A", "x y"), ("b", "s", "B", "full\nz"), ("c", None, None, "")}
+
+
 def test_tokens_and_estimates(spark):
     assert [one(spark, T.estimated_tokens(F.col("t")), t=t) for t in ("", "abc", "abcdef", None)] == [0, 1, 2, 0]
     assert one(spark, T.turn_tokens(F.col("a"), F.col("b")), a="abc", b="abcdefgh") == 4
