@@ -165,7 +165,7 @@ class Rewriter:
         plain = {c for b in rules.values() for c in b}
         odd = sorted(c for c in heads if len(unicodedata.normalize("NFD", c)) == 1 and (c in rules or c in self.rules) and c not in plain)
         odd += sorted(c for c in rules if len(c) == 1 and c not in plain)
-        #: Texts without any of these are in their final form already.
+        #: Texts in composed form without any of these are in their final form already.
         self.suspect = re.compile("[" + marks + "".join(map(re.escape, dict.fromkeys(odd))) + "]").search
         # An emoji sequence keeps its joiners: without them it looks different.
         emoji = "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x2600, 0x27BF), (0x1F000, 0x1FAFF))) + "]"
@@ -183,7 +183,7 @@ class Rewriter:
 
     def __call__(self, text: str | None) -> str | None:
         """The final form of a text; null stays null."""
-        if not text or not self.suspect(text):
+        if not text or (not self.suspect(text) and unicodedata.is_normalized("NFC", text)):
             return text
         keep = chr(0xF8FF)
         held = _JOINER in text and self.emoji.search(text) is not None

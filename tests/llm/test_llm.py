@@ -176,6 +176,13 @@ def test_accented_lookalikes_come_to_an_end(text):
         assert rewrite(latin) == rewrite(text) == rewrite(unicodedata.normalize("NFD", text))
 
 
+@pytest.mark.parametrize("text", ["한국어", "آب ؤ", "को ক়ো", "ế"])
+def test_separate_parts_of_any_script_are_composed(text):
+    apart = unicodedata.normalize("NFD", text)
+    rewrite = lookalikes.Rewriter(lookalikes.build_classes({c: 1 for c in text + apart}))
+    assert apart != text and rewrite(apart) == rewrite(text)
+
+
 def test_emoji_keep_their_joiners():
     family = "👨\u200d👩"
     rewrite = lookalikes.Rewriter(lookalikes.build_classes({c: 1 for c in family + "ab"}))
