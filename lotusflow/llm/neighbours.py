@@ -11,9 +11,11 @@ that the vectors of every region are stored in at least ``COPIES`` lists and sea
 ``SEARCHES`` on average: a dense group takes no lists from the others.
 Inside a list, members are compared in blocks by matrix products.
 
-Exact copies of one vector can be a large share of the rows. Vectors with more
-than ``hot_copies`` copies enter the index once and get their copies back by key,
-so no list and no task holds a group of copies.
+Copies of one direction, whatever their norm, can be a large share of the rows.
+Directions with more than ``hot_copies`` copies enter the index once and get their
+copies back by key, so no list and no task holds a group of copies. Unit vectors
+count as copies when they agree in 6 decimals: their cosine is 1 in the 7 decimals
+that count, and the cosines of a copy to others differ by less than 0.00001.
 
 Every row is indexed; only the centroids come from a sample.
 """
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotusflow.llm.common import arrow_map, sorted_groups, table
@@ -294,6 +296,23 @@ def valid_vectors(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     return df.where(F.coalesce(usable, F.lit(False))).select(F.col(key).cast("string").alias("id"), v.cast("array<float>").alias("vector"))
 
 
+def direction_hash(vector: Column) -> Column:
+    """A hash of the unit vector in 6 decimals, equal for vectors that differ only in their norm.
+
+    The vector is divided by its largest value first, so that no square overflows or
+    vanishes.
+    """
+    large = F.array_max(F.transform(vector, F.abs)).cast("double")
+    # One-element arrays bind a value, so that it is not computed anew for every element.
+    scaled = F.transform(F.array(large), lambda m: F.transform(vector, lambda x: x / m))[0]
+
+    def rounded(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+        return F.transform(F.array(norm), lambda n: F.transform(v, lambda x: F.rint(x / n * 1_000_000).cast("int")))[0]
+
+    return F.xxhash64(F.transform(F.array(scaled), rounded)[0])
+
+
 def similar_vectors(
     df: DataFrame,
     key: str,
@@ -318,7 +337,7 @@ def similar_vectors(
     """
     spark = df.sparkSession
     usable = valid_vectors(df, key, vector, dim)
-    counted = usable.withColumn("copy", F.xxhash64("vector"))
+    counted = usable.withColumn("copy", direction_hash(F.col("vector")))
     rows = usable.count()
     if rows < 2:
         return spark.createDataFrame([], "id string, rank int, other string, cosine double")

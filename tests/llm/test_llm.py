@@ -87,6 +87,23 @@ def test_hot_copies_meet_without_their_group(spark):
     assert set(got) == set(vectors)
 
 
+def test_copies_of_one_direction_are_hot_whatever_their_norm(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    one = rng.normal(size=16)
+    vectors = {f"h{i:03d}": (one * rng.uniform(0.001, 1000)).astype("float32").tolist() for i in range(400)}
+    vectors |= {f"r{i:03d}": rng.normal(size=16).astype("float32").tolist() for i in range(50)}
+    df = spark.createDataFrame(list(vectors.items()), "key string, v array<float>")
+    entering = []
+    place = neighbours._assign
+    monkeypatch.setattr(neighbours, "arrow_map", lambda d, f, schema, kept=neighbours.arrow_map: (f.__qualname__.startswith(place.__name__) and entering.append(d.count())) or kept(d, f, schema))
+    got = {}
+    for r in neighbours.similar_vectors(df, "key", "v", 16, 5, hot_copies=10).orderBy("rank").collect():
+        got.setdefault(r.id, []).append((r.other, r.cosine))
+    assert got["h007"] == [(f"h00{i}", 1.0) for i in range(5)]
+    assert set(got) == set(vectors) and entering[0] < 150
+    assert spark.createDataFrame([([3e38, -1.0, 1e38],), ([3e-38, -1e-76, 1e-38],)], "v array<float>").select(neighbours.direction_hash(F.col("v"))).distinct().count() == 1
+
+
 def test_neighbours_of_an_empty_table(spark):
     assert neighbours.similar_vectors(spark.createDataFrame([], "key string, v array<float>"), "key", "v", 4).count() == 0
 
