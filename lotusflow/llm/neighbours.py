@@ -1,23 +1,31 @@
 """The most similar vectors of every vector (problem 1).
 
-An inverted index with balanced posting lists. Centroids are fitted on a bounded
-sample in two levels and lists that would grow too long are split again. The
-centroids form an in-memory neighbour graph with the upper level as entry points;
-each vector walks it to its nearest centroids. A vector near the border of its
-list is replicated to every list whose centroid is within a distance ratio of the
-nearest one, and a tighter ratio selects the lists in which it searches. Both ratios
-are set on the sample, per entry point and never below those of the whole sample, so
-that the vectors of every region are stored in at least ``COPIES`` lists and search
+An inverted index with balanced posting lists. The number of lists follows the
+number of rows. Coarse centroids are fitted on a bounded sample at the driver; where
+the table needs more lists than that sample supports, every coarse cell is clustered
+again by a worker, on a sample of its own, so centroids grow with the rows. Clusters
+that would grow too long are split again. The centroids form an in-memory neighbour
+graph with the upper level as entry points; each vector walks it to its nearest
+centroids. A vector near the border of its list is replicated to every list whose
+centroid is within a distance ratio of the nearest one, and a tighter ratio selects
+the lists in which it searches. Both ratios are set on the sample, per entry point, so
+that the vectors of every region are stored in ``COPIES`` lists and search
 ``SEARCHES`` on average: a dense group takes no lists from the others.
-Inside a list, members are compared in blocks by matrix products.
 
-Copies of one direction, whatever their norm, can be a large share of the rows.
-Directions with more than ``hot_copies`` copies enter the index once and get their
-copies back by key, so no list and no task holds a group of copies. Unit vectors
-count as copies when they agree in 6 decimals: their cosine is 1 in the 7 decimals
-that count, and the cosines of a copy to others differ by less than 0.00001.
+The members of every list are counted after placement. A list of more than ``BLOCK``
+members is cut into blocks by the hash of the ids, and each pair of blocks is a task's
+work of its own: searchers of one, stored vectors of the other. Nothing is dropped, and
+no task holds more than two blocks. Inside a block pair, vectors are compared by matrix
+products.
 
-Every row is indexed; only the centroids come from a sample.
+Copies of one direction, whatever their norm, can be a large share of the rows. The
+``HOT_DIRECTIONS`` most frequent directions with more than ``HOT_COPIES`` copies enter
+the index once and get their copies back by key, without a shuffle of the copies; less
+frequent ones are ordinary members. Unit vectors count as copies when they agree in 6
+decimals: their cosine is 1 in the 7 decimals that count, and the cosines of a copy to
+others differ by less than 0.00001.
+
+Every row is indexed; only the centroids and the ratios come from samples.
 """
 
 from __future__ import annotations
@@ -29,19 +37,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lotusflow.llm.common import arrow_map, sorted_groups, table
+from lotusflow.llm.common import arrow_map, table
 
-#: Vectors of the sample for the centroids, picked by the hash of their ids; the driver holds about this many.
+#: Vectors of the sample for the coarse centroids, picked by the hash of their ids; the driver holds about this many.
 SAMPLE_ROWS = 150_000
 
 #: Vectors in a posting list before replication, on average.
-LIST_SIZE = 1200
+LIST_SIZE = 800
+
+#: Sampled vectors a centroid is fitted on, and vectors of one coarse cell a worker clusters at most.
+PER_CENTROID, CELL_SAMPLE = 64, 65_536
+
+#: Lists a vector is stored in, at most and on average, and lists it searches on average.
+REPLICAS, COPIES, SEARCHES = 8, 4.2, 4.0
 
-#: Lists a vector is stored in, at most and on average at least, and lists it searches on average at least.
-REPLICAS, COPIES, SEARCHES = 8, 3.4, 3.3
+#: Members of a list that one task holds of each side.
+BLOCK = 16_384
 
-#: Neighbours of a centroid in the graph.
-DEGREE = 24
+#: Copies from which a direction enters the index once, and how many such directions there can be.
+HOT_COPIES, HOT_DIRECTIONS = 64, 65_536
+
+#: Neighbours of a centroid in the graph, and entry points whose centroids are looked through for them.
+DEGREE, BESIDE = 24, 16
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -79,16 +96,23 @@ class Graph:
         self.entries, self.centres = entries, centres
         degree = min(DEGREE, len(centres) - 1)
         self.near = np.zeros((len(centres), degree), np.int32)
-        step = max(1, 8_000_000 // max(1, len(centres)))
-        for i in range(0, len(centres), step):
-            likeness = centres[i : i + step] @ centres.T
-            likeness[np.arange(len(likeness)), np.arange(i, i + len(likeness))] = -2
-            self.near[i : i + step] = np.argpartition(-likeness, max(0, degree - 1), axis=1)[:, :degree]
+        self.region = _nearest(centres, entries)
+        order = np.argsort(self.region, kind="stable")
+        rings = np.split(order, np.cumsum(np.bincount(self.region, minlength=len(entries)))[:-1])
+        sizes = np.array([len(r) for r in rings])
+        # Neighbours are looked for among the centroids of the nearest entry points.
+        for e, ring in enumerate(rings):
+            if not len(ring) or not degree:
+                continue
+            beside = np.argsort(-(entries @ entries[e]), kind="stable")
+            enough = int(np.searchsorted(np.cumsum(sizes[beside]), degree + 1)) + 1
+            pool = np.concatenate([rings[b] for b in beside[: max(BESIDE, enough)]])
+            likeness = centres[ring] @ centres[pool].T
+            likeness[ring[:, None] == pool[None, :]] = -2
+            self.near[ring] = pool[np.argpartition(-likeness, degree - 1, axis=1)[:, :degree]]
         # First frontier of an entry: its own centroids and two rings around them.
-        of = _nearest(centres, entries)
         self.frontier = []
-        for e in range(len(entries)):
-            ring = np.flatnonzero(of == e)
+        for e, ring in enumerate(rings):
             if not len(ring):
                 ring = np.argsort(-(centres @ entries[e]))[:1]
             self.frontier.append(np.unique(np.concatenate([ring, self.near[ring].ravel()])).astype(np.int32))
@@ -182,15 +206,13 @@ def fit_ratio(likeness: np.ndarray, average: float) -> float:
 def fit_ratios(graph: Graph, ids: np.ndarray, likeness: np.ndarray, average: float) -> np.ndarray:
     """The distance ratio of each centroid, for vectors nearest to it.
 
-    It lets the sampled vectors of its entry point reach ``average`` lists. Where
-    that is less than the whole sample needs, as in a dense group, the ratio of the
-    whole sample holds, so no region gets fewer lists than by one ratio for all.
+    It lets the sampled vectors of its entry point reach ``average`` lists; entry
+    points with fewer than 32 of them take the ratio of the whole sample.
     """
-    region = _nearest(graph.centres, graph.entries)
     ratios = np.full(len(graph.centres), fit_ratio(likeness, average))
-    at = region[ids[:, 0]]
-    for e in np.unique(at):
-        ratios[region == e] = np.maximum(ratios[region == e], fit_ratio(likeness[at == e], average))
+    at = graph.region[ids[:, 0]]
+    for e in np.flatnonzero(np.bincount(at, minlength=len(graph.entries)) >= 32):
+        ratios[graph.region == e] = fit_ratio(likeness[at == e], average)
     return ratios
 
 
@@ -199,77 +221,221 @@ def _vectors(batch_column: pa.Array, dim: int) -> np.ndarray:
     return np.ascontiguousarray(flat, dtype=np.float32).reshape(-1, dim)
 
 
-def _assign(graph: Graph, dim: int, replicas: int, store_ratios: np.ndarray, search_ratios: np.ndarray):
+def _fine_centroids(rows: DataFrame, graph: Graph, sample: np.ndarray, dim: int, lists: int, share: float, cell_sample: int) -> np.ndarray:
+    """Centroids fitted by the workers inside every coarse cell, about ``lists`` together.
+
+    ``rows`` has ``mark`` (a hash of the id) and ``vector``. A cell is fitted on
+    ``share`` of its vectors, at most about ``cell_sample``; it gets centroids by its
+    part of the coarse sample. What returns is one vector per list, which every worker
+    needs for the search anyway.
+    """
+    cells = len(graph.centres)
+    parts = np.bincount(graph.search(sample, 1)[0][:, 0], minlength=cells) / len(sample)
+    wanted = np.maximum(1, np.round(parts * lists)).astype(int)
+    expected = parts * wanted.sum() * PER_CENTROID
+    limit = (np.minimum(1.0, cell_sample / np.maximum(expected, 1)) * share * (1 << 30)).astype(np.int64)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _unit(_vectors(batch.column("vector"), dim))
+            cell = graph.search(x, 1)[0][:, 0]
+            keep = pa.array(batch.column("mark").to_numpy() < limit[cell])
+            made = pa.RecordBatch.from_arrays([pa.array(cell), batch.column("mark"), batch.column("vector")], names=["cell", "mark", "vector"])
+            yield made.filter(keep)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, "cell"):
+            cell = group.column("cell")[0].as_py()
+            made = fit_graph(_unit(_vectors(group.column("vector").combine_chunks(), dim)), int(wanted[cell])).centres
+            yield pa.RecordBatch.from_arrays([pa.array([cell] * len(made), pa.int32()), pa.array(made.tolist(), pa.list_(pa.float32()))], names=["cell", "vector"])
+
+    picked = arrow_map(rows.where(F.col("mark") < int(share * (1 << 30))), pick, "cell int, mark long, vector array<float>")
+    fitted = arrow_map(picked.repartition("cell").sortWithinPartitions("cell", "mark"), fit, "cell int, vector array<float>")
+    arrow = fitted.orderBy("cell", "vector").toArrow()
+    made = _vectors(arrow.column("vector").combine_chunks(), dim) if arrow.num_rows else np.zeros((0, dim), np.float32)
+    unseen = np.setdiff1d(np.arange(cells), arrow.column("cell").to_numpy())
+    return np.concatenate([made, graph.centres[unseen]])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """One table per key of a sorted partition; only the rows of the current key are held."""
+    pending: list[pa.RecordBatch] = []
+    current = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = batch.column(key).to_numpy()
+        heads = np.flatnonzero(np.diff(marks, prepend=marks[0] - 1))
+        for start, end in zip(heads, np.append(heads[1:], len(marks)), strict=True):
+            if pending and marks[start] != current:
+                yield pa.Table.from_batches(pending)
+                pending = []
+            current = marks[start]
+            pending.append(batch.slice(start, end - start))
+    if pending:
+        yield pa.Table.from_batches(pending)
+
+
+class Placement:
+    """Decides the lists of a vector; lists above a size are cut into ``blocks``."""
+
+    def __init__(self, graph: Graph, dim: int, replicas: int, store_ratios: np.ndarray, search_ratios: np.ndarray) -> None:
+        self.graph, self.dim, self.replicas = graph, dim, replicas
+        self.store_ratios, self.search_ratios = store_ratios, search_ratios
+        self.blocks = np.ones(len(graph.centres), np.int64)
+
+    def cut(self, members: np.ndarray, block: int) -> None:
+        """Set the blocks from the number of members of each list."""
+        self.blocks = np.maximum(1, -(-members // block)).astype(np.int64)
+
+    def lists(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, list, searches) of every copy of unit vectors."""
+        ids, likeness = self.graph.search(x, self.replicas)
+        far = np.maximum(2 - 2 * likeness, 0)
+        ratio = far / np.maximum(far[:, :1], 1e-9)
+        first = np.arange(ids.shape[1])[None, :] == 0
+        nearest = ids[:, :1]
+        stored = ((ratio <= self.store_ratios[nearest]) | first) & (ids >= 0)
+        searched = stored & ((ratio <= self.search_ratios[nearest]) | first)
+        rows, cols = np.nonzero(stored)
+        return rows, ids[rows, cols], searched[rows, cols]
+
+    def cells(self, at: np.ndarray, searches: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(copy, cell, role) for copies in list ``at``: role 1 searches, 2 is searched, 3 both.
+
+        The cell of a list with one block is the list's only one; else a copy is
+        searched in the cells of its block's column and searches along its row.
+        """
+        base = np.cumsum(self.blocks**2) - self.blocks**2
+        b = self.blocks[at]
+        own = mark % b
+        copy = np.repeat(np.arange(len(at)), b)
+        step = np.arange(len(copy)) - np.repeat(np.cumsum(b) - b, b)
+        down = base[at[copy]] + step * b[copy] + own[copy]
+        role = np.where((step == own[copy]) & searches[copy], 3, 2)
+        across = np.flatnonzero((step != own[copy]) & searches[copy])
+        more = copy[across]
+        return (
+            np.concatenate([copy, more]),
+            np.concatenate([down, base[at[more]] + own[more] * b[more] + step[across]]),
+            np.concatenate([role, np.ones(len(across), np.int64)]),
+        )
+
+
+def _count_members(place: Placement):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(place.graph.centres), np.int64)
+        for batch in batches:
+            x = _unit(_vectors(batch.column("vector"), place.dim))
+            for i in range(0, len(x), 8192):
+                total += np.bincount(place.lists(x[i : i + 8192])[1], minlength=len(total))
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["list", "n"])
+
+    return run
+
+
+def _assign(place: Placement):
+    dim = place.dim
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = _unit(_vectors(batch.column("vector"), dim))
+            marks = batch.column("mark").to_numpy()
             for i in range(0, len(x), 8192):
                 part = x[i : i + 8192]
-                ids, likeness = graph.search(part, replicas)
-                far = np.maximum(2 - 2 * likeness, 0)
-                ratio = far / np.maximum(far[:, :1], 1e-9)
-                place = np.arange(ids.shape[1])[None, :]
-                nearest = ids[:, :1]
-                stored = ((ratio <= store_ratios[nearest]) | (place == 0)) & (ids >= 0)
-                searched = stored & ((ratio <= search_ratios[nearest]) | (place == 0))
-                rows, cols = np.nonzero(stored)
-                unit = part[rows]
-                offsets = np.arange(0, (len(rows) + 1) * dim, dim, dtype=np.int32)
+                rows, at, searches = place.lists(part)
+                copy, cell, role = place.cells(at, searches, marks[i + rows])
+                unit = part[rows[copy]]
+                offsets = np.arange(0, (len(copy) + 1) * dim, dim, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids[rows, cols]),
-                        pa.array(searched[rows, cols]),
-                        batch.column("id").take(pa.array(rows + i)),
+                        pa.array(cell),
+                        pa.array(role.astype(np.int8)),
+                        batch.column("id").take(pa.array(rows[copy] + i)),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(unit.ravel())),
                     ],
-                    names=["list", "searches", "id", "vector"],
+                    names=["cell", "role", "id", "vector"],
                 )
 
     return run
 
 
+def _without_repeats(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
+    """Leave out rows that repeat cell, id and vector of the row before, in a partition sorted by them."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cells, names = batch.column("cell").to_numpy(), batch.column("id").to_numpy(zero_copy_only=False)
+        x = _vectors(batch.column("vector"), dim)
+        same = np.zeros(len(names), bool)
+        same[1:] = (cells[1:] == cells[:-1]) & (names[1:] == names[:-1])
+        near = np.flatnonzero(same)
+        same[near] = (x[near] == x[near - 1]).all(1)
+        same[0] = last is not None and last[:2] == (cells[0], names[0]) and bool((last[2] == x[0]).all())
+        last = (cells[-1], names[-1], x[-1].copy())
+        yield batch.filter(pa.array(~same)) if same.any() else batch
+
+
 def _search_lists(dim: int, k: int, min_cosine: float):
     schema = pa.schema([("id", pa.string()), ("other", pa.list_(pa.string())), ("cosine", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, ["list"]):
-            group = group.combine_chunks()
-            names = np.array(group.column("id").to_pylist(), dtype=object)
+        for group in _groups(_without_repeats(batches, dim), "cell"):
+            names = group.column("id").to_numpy()
             x = _vectors(group.column("vector").combine_chunks(), dim)
-            asks = np.flatnonzero(group.column("searches").to_numpy())
-            if len(x) < 2:
+            role = group.column("role").to_numpy()
+            asks, targets = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+            if not len(asks) or len(targets) < 1 or len(x) < 2:
                 continue
+            # Rows of one key stand side by side: they are no neighbours of each other, and
+            # each of them may take a place, so more places are kept until the lists meet.
+            repeated = np.flatnonzero(names[1:] == names[:-1]) + 1
+            number = np.ones(len(x), np.int64)
+            number[repeated] = 0
+            number = np.cumsum(number)
+            places = k * int(np.bincount(number).max())
+            y, y_number = (x, number) if len(targets) == len(x) else (x[targets], number[targets])
+            y_names = names if len(targets) == len(x) else names[targets]
             out_id, out_other, out_cosine = [], [], []
-            step = max(16, min(2048, 16_000_000 // len(x)))
+            step = max(16, min(2048, 16_000_000 // len(y)))
             for i in range(0, len(asks), step):
                 rows = asks[i : i + step]
-                likeness = x[rows] @ x.T
-                likeness[np.arange(len(rows)), rows] = -2
+                likeness = x[rows] @ y.T
+                # Keys are sorted, so the rows of the own key are one run of the targets.
+                lo, hi = np.searchsorted(y_number, number[rows]), np.searchsorted(y_number, number[rows], "right")
+                for j in range(int((hi - lo).max(initial=0))):
+                    own = np.flatnonzero(lo + j < hi)
+                    likeness[own, lo[own] + j] = -2
                 # Everything at least as similar as the k-th, so ties are kept whole. Rows
                 # with few members above the minimum need no search for their k-th.
                 floor = np.full(len(rows), min_cosine - 2e-6, np.float32)
                 if min_cosine > -1:
-                    many = np.flatnonzero(np.count_nonzero(likeness >= floor[0], axis=1) > k)
+                    many = np.flatnonzero(np.count_nonzero(likeness >= floor[0], axis=1) > places)
                 else:
                     many = np.arange(len(rows))
-                if len(many) and len(x) > k:
-                    kth = -np.partition(-likeness[many], k - 1, axis=1)[:, k - 1]
+                if len(many) and len(y) > places:
+                    kth = -np.partition(-likeness[many], places - 1, axis=1)[:, places - 1]
                     floor[many] = np.maximum(kth - 2e-6, floor[many])
-                r, c = np.nonzero(likeness >= floor[:, None])
+                r, c = np.nonzero((likeness >= floor[:, None]) & (likeness > -1.5))
                 if not len(r):
                     continue
-                exact = np.einsum("ij,ij->i", x[rows[r]].astype(np.float64), x[c].astype(np.float64)).round(7)
-                order = np.lexsort((names[c], -exact, r))
+                exact = np.einsum("ij,ij->i", x[rows[r]].astype(np.float64), y[c].astype(np.float64)).round(7)
+                # Targets stand in the order of their keys, so the position settles equal cosines.
+                order = np.lexsort((c, -exact, r))
                 r, c, exact = r[order], c[order], exact[order]
                 heads = np.flatnonzero(np.diff(r, prepend=-1))
                 inner = np.arange(len(r)) - np.repeat(heads, np.diff(np.append(heads, len(r))))
-                good = (inner < k) & (exact >= min_cosine)
+                good = (inner < places) & (exact >= min_cosine)
                 r, c, exact = r[good], c[good], exact[good]
                 for s, e in zip(h := np.flatnonzero(np.diff(r, prepend=-1)), np.append(h[1:], len(r)), strict=True):
                     out_id.append(names[rows[r[s]]])
-                    out_other.append(names[c[s:e]].tolist())
+                    out_other.append(y_names[c[s:e]].tolist())
                     out_cosine.append(exact[s:e].tolist())
                 if len(out_id) > 4096:
                     yield pa.RecordBatch.from_pydict({"id": out_id, "other": out_other, "cosine": out_cosine}, schema=schema)
@@ -325,7 +491,9 @@ def similar_vectors(
     replicas: int = REPLICAS,
     copies: float = COPIES,
     searches: float = SEARCHES,
-    hot_copies: int = 64,
+    hot_copies: int = HOT_COPIES,
+    block: int = BLOCK,
+    cell_sample: int = CELL_SAMPLE,
 ) -> DataFrame:
     """``(id, rank, other, cosine)``: the k most similar other rows of each row.
 
@@ -336,49 +504,56 @@ def similar_vectors(
     usable rows give no result.
     """
     spark = df.sparkSession
-    usable = valid_vectors(df, key, vector, dim)
-    counted = usable.withColumn("copy", direction_hash(F.col("vector")))
-    rows = usable.count()
-    if rows < 2:
+    usable = valid_vectors(df, key, vector, dim).withColumn("mark", F.pmod(F.xxhash64("id"), F.lit(1 << 30)))
+    rows = df.count()
+
+    def draw(share: float) -> np.ndarray:
+        picked = usable if share >= 1 else usable.where(F.col("mark") < int(share * (1 << 30)))
+        arrow = picked.select("vector").toArrow()
+        return _unit(_vectors(arrow.column("vector").combine_chunks(), dim)) if arrow.num_rows else np.zeros((0, dim), np.float32)
+
+    sample = draw(min(1.0, sample_rows / max(rows, 1)))
+    if rows > sample_rows and len(sample) < sample_rows // 2:
+        # Many rows are unusable: count the usable ones and draw again.
+        rows = usable.count()
+        sample = draw(min(1.0, sample_rows / max(rows, 1)))
+    if not len(sample):
         return spark.createDataFrame([], "id string, rank int, other string, cosine double")
-    # At most 65,536 vectors can have more copies than this, however large the table.
-    hot_copies = max(hot_copies, rows // 65_536)
-    hot = counted.groupBy("copy").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("keeper")).where(F.col("n") > hot_copies)
-    hot_rows = hot.select("copy", "keeper").collect()
-
-    share = min(1.0, sample_rows / rows)
-    picked = usable if share >= 1 else usable.where(
-        F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))
-    )
-    arrow = picked.select("vector").toArrow()
-    sample = _unit(_vectors(arrow.column("vector").combine_chunks(), dim))
-    graph = fit_graph(sample, max(1, rows // list_size))
+    lists = max(1, -(-rows // list_size))
+    # Two levels at the driver while the sample gives each list at least half of what it is fitted on.
+    supported = max(1, len(sample) // PER_CENTROID)
+    coarse = lists if lists <= 2 * supported else supported
+    graph = fit_graph(sample, coarse)
+    if lists > coarse:
+        share = min(1.0, PER_CENTROID * lists / rows)
+        graph = Graph(graph.centres, _fine_centroids(usable, graph, sample, dim, lists, share, cell_sample))
     # Some hundred vectors for every entry point.
     wanted = max(20_000, 256 * len(graph.entries))
     ids, likeness = graph.search(sample[:: max(1, len(sample) // wanted)], replicas)
-    store_ratios, search_ratios = (fit_ratios(graph, ids, likeness, n) for n in (copies, searches))
-    del arrow, sample, ids, likeness
+    place = Placement(graph, dim, replicas, *(fit_ratios(graph, ids, likeness, n) for n in (copies, searches)))
+    del sample, ids, likeness
 
+    counted = usable.withColumn("copy", direction_hash(F.col("vector")))
+    hot = counted.groupBy("copy").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("keeper")).where(F.col("n") > hot_copies)
+    hot_rows = hot.orderBy(F.desc("n"), "copy").limit(HOT_DIRECTIONS).select("copy", "keeper").collect()
     entering = usable
     if hot_rows:
-        # A bounded table: see hot_copies.
+        # At most HOT_DIRECTIONS rows.
         keepers = F.broadcast(spark.createDataFrame(hot_rows, "copy long, keeper string"))
         marked = counted.join(keepers, "copy", "left")
-        entering = marked.where("keeper is null or keeper = id").select("id", "vector")
-    placed = arrow_map(
-        entering,
-        _assign(graph, dim, replicas, store_ratios, search_ratios),
-        "list int, searches boolean, id string, vector array<float>",
-    )
-    # Two repeated rows of one key land in the same lists; one of them is enough.
-    listed = placed.repartition("list").sortWithinPartitions("list", "id")
-    unique = _drop_repeats(listed)
-    answers = arrow_map(unique, _search_lists(dim, k, min_cosine), "id string, other array<string>, cosine array<double>")
+        entering = marked.where("keeper is null or keeper = id").select("id", "mark", "vector")
+    # One number per list, as many as there are centroids.
+    members = arrow_map(entering.select("vector"), _count_members(place), "list int, n long").groupBy("list").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(len(graph.centres), np.int64)
+    counts[members.column("list").to_numpy()] = members.column("n").to_numpy()
+    place.cut(counts, block)
+    placed = arrow_map(entering, _assign(place), "cell long, role byte, id string, vector array<float>")
+    listed = placed.repartition("cell").sortWithinPartitions("cell", "id", "vector")
+    answers = arrow_map(listed, _search_lists(dim, k, min_cosine), "id string, other array<string>, cosine array<double>")
     if not hot_rows:
         return _best_of_lists(answers, k)
     flat = answers.select("id", F.explode(F.arrays_zip("other", "cosine")).alias("m")).select("id", "m.other", "m.cosine")
-    spread_out = _expand_hot(flat, counted, keepers, k, min_cosine)
-    best = spread_out.where("id <> other").groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
+    best = _expand_hot(flat, counted, keepers, k, min_cosine)
     order = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("id", "rank", "other", "cosine")
 
@@ -401,48 +576,41 @@ def _best_of_lists(answers: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _drop_repeats(sorted_rows: DataFrame) -> DataFrame:
-    """Remove rows that repeat the row before them in list and id, in a sorted partition."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = batch.column("list").to_numpy()
-            names = np.array(batch.column("id").to_pylist(), dtype=object)
-            new = np.ones(len(names), bool)
-            new[1:] = (lists[1:] != lists[:-1]) | (names[1:] != names[:-1])
-            new[0] = last != (lists[0], names[0])
-            last = (lists[-1], names[-1])
-            yield batch if new.all() else batch.filter(pa.array(new))
-
-    return arrow_map(sorted_rows, run, sorted_rows.schema.simpleString()[7:-1].replace(":", " "))
-
-
 def _expand_hot(answers: DataFrame, counted: DataFrame, keepers: DataFrame, k: int, min_cosine: float) -> DataFrame:
-    """Give the copies of a hot vector their neighbours, and the others their copies.
+    """``(id, other, cosine)`` with the copies of hot directions in place of their keepers.
 
     A copy's nearest are the other copies with the smallest ids, so k+1 of them
     answer for the whole group; the same few stand for it among the neighbours of
-    other vectors.
+    other vectors. What is looked up is bounded by the number of hot directions, so
+    the copies themselves, which may be a large share of all rows, are not shuffled
+    by their direction.
     """
-    members = counted.join(keepers, "copy").select("keeper", "id").distinct()
+    members = counted.join(keepers, "copy").select("keeper", "id")
+    # Ids with their direction spread the copies; the first few of each part meet again.
+    ranked = Window.partitionBy("keeper").orderBy("id")
+    part = Window.partitionBy("keeper", F.pmod(F.xxhash64("id"), F.lit(256))).orderBy("id")
     first = (
-        members.withColumn("n", F.row_number().over(Window.partitionBy("keeper").orderBy("id")))
-        .where(F.col("n") <= k + 1)
+        members.groupBy("keeper", "id").agg(F.lit(1).alias("one"))
+        .withColumn("n", F.row_number().over(part)).where(F.col("n") <= k + 1)
+        .withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= k + 1)
         .select("keeper", F.col("id").alias("member"))
     )
-    # At most (k + 1) rows for each of the bounded hot vectors.
+    # At most (k + 1) rows for each hot direction.
     first = F.broadcast(first)
     others = answers.join(first, answers["other"] == first["keeper"], "left").select(
         "id", F.coalesce("member", "other").alias("other"), "cosine"
     )
+    others = others.where("id <> other").groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
+    names = keepers.select(F.col("keeper").alias("hot"))
+    cold = others.join(names, others["id"] == names["hot"], "left_anti")
+    # At most k answers for each hot direction.
+    of_keeper = others.join(names, others["id"] == names["hot"], "left_semi").withColumn(
+        "n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))
+    ).where(F.col("n") <= k).select(F.col("id").alias("keeper"), "other", "cosine")
+    around = members.join(F.broadcast(of_keeper), "keeper").select("id", "other", "cosine")
     between = members.join(first, "keeper").select("id", F.col("member").alias("other"), F.lit(1.0).alias("cosine"))
-    spread = others.join(members.withColumnRenamed("id", "copy_id"), others["id"] == members["keeper"], "left").select(
-        F.coalesce("copy_id", "id").alias("id"), "other", "cosine"
-    )
-    return spread.unionByName(between.where(F.lit(min_cosine) <= 1.0))
+    mine = around.unionByName(between.where(F.lit(min_cosine) <= 1.0)).where("id <> other")
+    return cold.unionByName(mine).groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
 
 
 def mutual_pairs(neighbours: DataFrame) -> DataFrame:
@@ -467,16 +635,3 @@ def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(
         F.col("id").alias("chunk_id"), "rank", F.col("other").alias("neighbour_id"), F.col("cosine").cast("double").alias("cosine")
     )
-
-
-P1_FOUND_SQL = r"""
-WITH e AS (
-  SELECT DISTINCT chunk_id AS id, CAST(dense_vector AS DOUBLE[64]) AS v FROM index_entries
-  WHERE len(dense_vector) = 64 AND len(list_filter(dense_vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
-    AND len(list_filter(dense_vector, lambda x: x <> 0)) > 0),
-p AS (
-  SELECT a.id AS a, b.id AS b, round(array_cosine_similarity(a.v, b.v), 7) AS c
-  FROM e a JOIN e b ON a.id <> b.id WHERE array_cosine_similarity(a.v, b.v) >= 0.8999999),
-r AS (SELECT a, b, c FROM p WHERE c >= 0.9 QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 5)
-SELECT x.a AS chunk_a, x.b AS chunk_b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b
-"""

@@ -104,6 +104,84 @@ def test_copies_of_one_direction_are_hot_whatever_their_norm(spark, monkeypatch)
     assert spark.createDataFrame([([3e38, -1.0, 1e38],), ([3e-38, -1e-76, 1e-38],)], "v array<float>").select(neighbours.direction_hash(F.col("v"))).distinct().count() == 1
 
 
+def recall(got, x, ids, rows, k=5):
+    hits = 0
+    for i in rows:
+        like = x @ x[i]
+        like[i] = -2
+        hits += len({ids[j] for j in np.argsort(-like)[:k]} & got.get(ids[i], set()))
+    return hits / (k * len(rows))
+
+
+def neighbour_sets(df, dim, **settings):
+    got = {}
+    for r in neighbours.similar_vectors(df, "key", "v", dim, 5, **settings).collect():
+        got.setdefault(r.id, set()).add(r.other)
+    return got
+
+
+def test_centroids_grow_beyond_the_sample_of_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 16))
+    x = np.array([centres[i % 60] + 0.7 * rng.normal(size=16) for i in range(6000)], np.float32)
+    ids = [f"{i:05d}" for i in range(len(x))]
+    made = []
+    kept = neighbours.Placement
+    monkeypatch.setattr(neighbours, "Placement", lambda graph, *a: made.append(len(graph.centres)) or kept(graph, *a))
+    df = spark.createDataFrame(list(zip(ids, x.tolist(), strict=True)), "key string, v array<float>")
+    # 300 sampled vectors fit 4 coarse centroids; the workers make the other lists.
+    got = neighbour_sets(df, 16, list_size=60, sample_rows=300, cell_sample=2000)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert made[0] >= 90
+    assert recall(got, x, ids, range(0, 6000, 60)) >= 0.9
+
+
+def test_long_lists_are_cut_into_blocks_without_a_loss(spark):
+    rng = np.random.default_rng(9)
+    vectors = {f"c{i:04d}": rng.normal(size=8).astype("float32").tolist() for i in range(300)}
+    df = spark.createDataFrame([(k, v) for k, v in vectors.items()] * 2, "key string, v array<float>")
+    got = {}
+    for r in neighbours.similar_vectors(df, "key", "v", 8, 4, list_size=1000, block=37).orderBy("rank").collect():
+        got.setdefault(r.id, []).append(r.other)
+    assert got == brute_neighbours(vectors, 4, -1)
+
+
+def test_every_pair_of_a_cut_list_meets_once():
+    graph = neighbours.Graph(np.eye(2, dtype=np.float32), np.eye(2, dtype=np.float32))
+    place = neighbours.Placement(graph, 2, 2, np.ones(2), np.ones(2))
+    place.cut(np.array([50, 3]), 12)
+    at, marks = np.array([0] * 50 + [1] * 3), np.arange(53) * 7
+    searches = np.arange(53) % 3 > 0
+    copy, cell, role = place.cells(at, searches, marks)
+    met = [(a, b) for c in np.unique(cell) for a in copy[(cell == c) & (role & 1 > 0)] for b in copy[(cell == c) & (role & 2 > 0)]]
+    assert sorted(met) == [(a, b) for a in range(53) for b in range(53) if searches[a] and at[a] == at[b]]
+    assert max(np.unique(cell, return_counts=True)[1]) < 35
+
+
+def test_rows_of_one_key_with_other_vectors_are_all_compared(spark):
+    rows = [("a", [1.0, 0.0]), ("a", [0.0, 1.0]), ("a", [1.0, 0.0]), ("b", [1.0, 0.1]), ("c", [0.1, 1.0]), ("d", [-1.0, -1.0])]
+    df = spark.createDataFrame(rows, "key string, v array<float>")
+    got = neighbour_sets(df, 2)
+    assert got["a"] == {"b", "c", "d"} and got["b"] == {"a", "c", "d"}
+    two = {(r.id, r.rank): (r.other, r.cosine) for r in neighbours.similar_vectors(df, "key", "v", 2, 1).collect()}
+    assert two["b", 1][0] == "a" and two["c", 1][0] == "a" and two["a", 1][0] in ("b", "c")
+
+
+def test_a_hot_direction_of_a_third_of_the_rows(spark):
+    rng = np.random.default_rng(4)
+    one = rng.normal(size=16)
+    others = (rng.normal(size=(60, 16))[rng.integers(0, 60, 20_000)] + 0.6 * rng.normal(size=(20_000, 16))).astype("float32")
+    hot = (one * rng.uniform(0.01, 100, size=(10_000, 1))).astype("float32")
+    x = np.concatenate([others, hot])
+    ids = [f"{i:06d}" for i in range(len(x))]
+    df = spark.createDataFrame(list(zip(ids, x.tolist(), strict=True)), "key string, v array<float>").repartition(4)
+    got = neighbour_sets(df, 16, list_size=300)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert recall(got, x, ids, range(0, 20_000, 100)) >= 0.9
+    assert got[ids[20_000]] == set(ids[20_001:20_006])
+    assert all(got[i] == set(ids[20_000:20_005]) for i in ids[20_005:])
+
+
 def test_neighbours_of_an_empty_table(spark):
     assert neighbours.similar_vectors(spark.createDataFrame([], "key string, v array<float>"), "key", "v", 4).count() == 0
 
