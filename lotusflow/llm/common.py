@@ -27,6 +27,18 @@ def has_text(column: Column) -> Column:
     return F.coalesce(column.rlike(HAS_TEXT), F.lit(False))
 
 
+def distinct_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df.distinct()`` that moves only rows whose key occurs more than once.
+
+    The keys that occur more than once are written to the shared folder first, so
+    Spark knows their size and broadcasts them where they are few; beyond that it
+    joins by shuffle.
+    """
+    many = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*[F.col(k).alias(f"{k}_many") for k in keys]))
+    same = [df[k].eqNullSafe(many[f"{k}_many"]) for k in keys]
+    return df.join(many, same, "left_anti").unionByName(df.join(many, same, "left_semi").distinct())
+
+
 def sorted_groups(
     batches: Iterator[pa.RecordBatch], keys: list[str]
 ) -> Iterator[pa.Table]:

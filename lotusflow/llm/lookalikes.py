@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotusflow.llm.common import HAS_TEXT, arrow_map, table
+from lotusflow.llm.common import HAS_TEXT, arrow_map, distinct_rows, materialize, table
 
 #: Letters that share the shape of a Latin letter, by that letter.
 SAME_SHAPE = {
@@ -261,27 +261,59 @@ def _digests(rules: dict[str, str]):
     return run
 
 
-def lookalike_pairs(texts: DataFrame, rules: dict[str, str]) -> DataFrame:
-    """Pairs ``(tbl, id_a, id_b)``, id_a < id_b, of texts that look alike but differ.
+#: Parts into which the rows of one form are dealt when they meet its summary, and members of a class per task of its pairs.
+FORM_PARTS, CLASS_ROWS = 16, 10_000
+
 
-    Takes ``(tbl, id, content)``. Texts meet by a 128-bit digest of their final
-    form, so no text is shuffled. Only forms with at least two different strings go
-    on to the join, and copies of one string are never paired with each other.
-    Null texts, texts without a letter or digit and null ids take no part; repeated
-    rows count once.
+def lookalike_members(texts: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """``(tbl, id, looks, exact, members)`` of the texts that look like a different string.
+
+    Takes ``(tbl, id, content)``. Every text is rewritten once; the digests of its
+    final form and of itself are written to the shared folder, and everything after
+    works on those 128-bit digests, so no text is shuffled. Only forms with at
+    least two different strings go on. ``members`` counts the rows of the class,
+    repeated ones included. Null texts, texts without a letter or digit and null ids
+    take no part; repeated rows count once.
     """
     wanted = texts.where(F.col("content").rlike(HAS_TEXT) & F.col("id").isNotNull()).select("tbl", "id", "content")
-    keyed = arrow_map(wanted, _digests(rules), "tbl string, id string, looks binary, exact binary")
+    keyed = materialize(arrow_map(wanted, _digests(rules), "tbl string, id string, looks binary, exact binary"))
     mixed = (
         keyed.groupBy("tbl", "looks")
-        .agg(F.min("exact").alias("low"), F.max("exact").alias("high"))
+        .agg(F.min("exact").alias("low"), F.max("exact").alias("high"), F.count(F.lit(1)).alias("members"))
         .where("low <> high")
-        .select("tbl", "looks")
+        .select("tbl", "looks", "members", F.explode(F.sequence(F.lit(0), F.lit(FORM_PARTS - 1))).alias("part"))
+    )
+    dealt = keyed.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(FORM_PARTS)).cast("int"))
+    return dealt.join(mixed, ["tbl", "looks", "part"]).select("tbl", "id", "looks", "exact", "members").distinct()
+
+
+def lookalike_classes(texts: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """``(tbl, id, class_id, spelling_id, links)``: one row per text that looks like another string.
+
+    Texts of one class look alike; those of one spelling are the same string. ``links``
+    counts the texts of the class with another spelling. Its size follows the number
+    of texts, however large a class is.
+    """
+    members = lookalike_members(texts, rules)
+    spelled = members.groupBy("tbl", "looks", "exact").agg(F.count(F.lit(1)).alias("same"))
+    sized = spelled.groupBy("tbl", "looks").agg(F.sum("same").alias("all"))
+    links = spelled.join(sized, ["tbl", "looks"]).select("tbl", "looks", "exact", (F.col("all") - F.col("same")).alias("links"))
+    return members.join(links, ["tbl", "looks", "exact"]).select(
+        "tbl", "id", F.lower(F.hex("looks")).alias("class_id"), F.lower(F.hex("exact")).alias("spelling_id"), "links"
     )
-    kept = keyed.join(mixed, ["tbl", "looks"], "left_semi").distinct()
-    a = kept.select("tbl", "looks", F.col("id").alias("id_a"), F.col("exact").alias("exact_a"))
-    b = kept.select("tbl", "looks", F.col("id").alias("id_b"), F.col("exact").alias("exact_b"))
-    return a.join(b, ["tbl", "looks"]).where("id_a < id_b and exact_a <> exact_b").select("tbl", "id_a", "id_b")
+
+
+def lookalike_pairs(texts: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """Pairs ``(tbl, id_a, id_b)``, id_a < id_b, of texts that look alike but differ.
+
+    Copies of one string are never paired with each other. A class of many rows is
+    dealt to one task for every ``CLASS_ROWS`` of them; the pairs themselves are as many
+    as there are. See ``lookalike_members`` for what takes part.
+    """
+    kept = lookalike_members(texts, rules).withColumn("parts", F.ceil(F.col("members") / CLASS_ROWS).cast("int"))
+    a = kept.select("tbl", "looks", F.col("id").alias("id_a"), F.col("exact").alias("exact_a"), F.expr("cast(pmod(xxhash64(id), parts) as int)").alias("part"))
+    b = kept.select("tbl", "looks", F.col("id").alias("id_b"), F.col("exact").alias("exact_b"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
+    return a.join(b, ["tbl", "looks", "part"]).where("id_a < id_b and exact_a <> exact_b").select("tbl", "id_a", "id_b")
 
 
 def lookalike_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,8 +337,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike_pairs(texts, rules).distinct()
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes of those rows, with the number of links of each row."""
+    texts = lookalike_texts(spark, sf_dir)
+    return lookalike_classes(texts, build_classes(point_frequency(texts.select("content"))))
+
+
 def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text in its final form."""
+    """Every text in its final form; repeated rows count once, and no row whose key occurs once is moved."""
     texts = lookalike_texts(spark, sf_dir)
     rules = build_classes(point_frequency(texts.select("content")))
-    return unify_texts(texts, "content", rules).select("tbl", "id", F.col("unified").alias("content")).distinct()
+    texts = distinct_rows(texts, ["tbl", "id"])
+    return unify_texts(texts, "content", rules).select("tbl", "id", F.col("unified").alias("content"))

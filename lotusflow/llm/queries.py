@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": splitting.p2_found,
         "p2_pieces": splitting.p2_pieces,
         "p3_found": lookalikes.p3_found,
+        "p3_classes": lookalikes.p3_classes,
         "p3_unified": lookalikes.p3_unified,
         "p4_found": conversations.p4_found,
         "p4_messages": conversations.p4_messages,

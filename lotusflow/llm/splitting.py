@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotusflow.llm.common import NOT_SPACE, arrow_map, table
+from lotusflow.llm.common import NOT_SPACE, arrow_map, distinct_rows, table
 
 #: The code points with the Unicode property White_Space.
 WHITE_POINTS = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -208,10 +208,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every piece of every item, once per item."""
+    """Every piece of every item; repeated rows count once, and no row that occurs once is moved."""
     limit, overlap = split_limits(spark, sf_dir, "split")
-    pieces = split_items(oversize_items(spark, sf_dir), limit, overlap)
-    return pieces.dropDuplicates(["tbl", "id", "piece_no"])
+    return split_items(distinct_rows(oversize_items(spark, sf_dir), ["tbl", "id"]), limit, overlap)
 
 
 P2_FOUND_SQL = r"""

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lotusflow.llm import answers, conversations, encoding, lookalikes, neighbours, packing, pii, splitting
+from lotusflow.llm import answers, common, conversations, encoding, lookalikes, neighbours, packing, pii, splitting
 from lotusflow.llm.conversations import kahn_order
 
 # --- similar vectors
@@ -299,6 +299,28 @@ def test_lookalike_pairs_against_brute_force(spark):
     real = {x for x in rows if x[2] and any(c.isalnum() for c in x[2])}
     want = {(a[0], a[1], b[1]) for a, b in itertools.permutations(real, 2) if a[0] == b[0] and a[1] < b[1] and a[2] != b[2] and plain(a[2]) == plain(b[2])}
     assert got == want and want
+    rows_of = lookalikes.lookalike_classes(df, rules).collect()
+    assert len(rows_of) == len({(r.tbl, r.id, r.spelling_id) for r in rows_of}) == len({(t, i) for t, a, b in want for i in (a, b)})
+    links = {(r.tbl, r.id): r.links for r in rows_of}
+    assert all(n == sum((t, i) in ((x, a), (x, b)) for x, a, b in want) for (t, i), n in links.items())
+    classes = {(r.tbl, r.id): r.class_id for r in rows_of}
+    assert all(classes[t, a] == classes[t, b] for t, a, b in want)
+
+
+def test_a_look_of_half_the_rows_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(lookalikes, "CLASS_ROWS", 7)
+    rows = [("t", f"{i:03d}", "xin ch\u00e0o" if i % 5 else "xin cha\u0300o") for i in range(60)] + [("t", f"r{i}", f"text {i}") for i in range(60)]
+    df = spark.createDataFrame(rows * 2, "tbl string, id string, content string")
+    rules = lookalikes.build_classes(lookalikes.point_frequency(df.select("content")))
+    got = sorted(tuple(x) for x in lookalikes.lookalike_pairs(df, rules).collect())
+    ids = [f"{i:03d}" for i in range(60)]
+    assert got == sorted({("t", a, b) for a in ids for b in ids if a < b and (int(a) % 5 == 0) != (int(b) % 5 == 0)})
+
+
+def test_only_repeated_rows_are_moved(spark):
+    rows = [("a", "x"), ("a", "x"), ("a", "y"), ("b", "z"), (None, "n"), (None, "n")]
+    got = common.distinct_rows(spark.createDataFrame(rows, "id string, content string"), ["id"]).collect()
+    assert sorted((r.id or "", r.content) for r in got) == [("", "n"), ("a", "x"), ("a", "y"), ("b", "z")]
 
 
 # --- conversations
@@ -311,6 +333,31 @@ def test_kahn():
     assert kahn_order(["a"], {"a": "gone"}, {})[1] == ["a"]
 
 
+def test_stamps_and_cycles_change_the_order():
+    def thread(stamps, parents):
+        roles = {m: "assistant" if m.startswith("a") else "user" for m in stamps}
+        return conversations.check_thread(parents, stamps, roles)
+
+    parents = {"a1": "q1", "q2": "a1", "q3": "a1", "a2": "q2", "a3": "q3"}
+    early = thread({"q1": 1, "a1": 2, "q2": 3, "a2": 4, "q3": 5, "a3": 6}, parents)
+    assert early == (["q1", "a1", "q2", "a2", "q3", "a3"], set(), set(), set())
+    # With the second branch first, and both questions before either answer, the roles stop alternating.
+    late = thread({"q1": 1, "a1": 2, "q2": 4, "a2": 6, "q3": 3, "a3": 5}, parents)
+    assert late == (["q1", "a1", "q3", "q2", "a3", "a2"], set(), {"a2"}, set())
+    cycle = thread({"q1": 1, "a1": 2, "q2": 3, "a2": 4, "q3": 5}, {"a1": "q1", "q2": "q3", "q3": "a2", "a2": "q2"})
+    assert cycle == (["q1", "a1"], {"q2", "a2", "q3"}, set(), {"q3"})
+
+
+def test_turns_of_one_number_are_ordered_by_their_stamps():
+    turns = [(1, "x", 5, True, True), (1, "y", 3, True, True), (2, "z", 1, True, True)]
+    places = {key: (place, reached) for key, place, reached, _, _ in conversations.order_turns(turns, True)}
+    assert places == {"y": (0, True), "z": (2, True), "x": (4, True)}
+    turns[0] = (1, "x", 2, True, True)
+    places = {key: place for key, place, *_ in conversations.order_turns(turns, True)}
+    assert places == {"x": 0, "z": 2, "y": 4}
+    assert [r[2] for r in conversations.order_turns([(1, "x", 1, True, True), (3, "y", 2, True, True), (4, "z", 3, True, True)], True)] == [True, False, False]
+
+
 def turn_rows(spark, rows):
     return spark.createDataFrame(
         [(*r, 1) for r in rows], "id string, session_id string, turn_no int, question string, answer string, intent int"
