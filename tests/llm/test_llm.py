@@ -2,6 +2,7 @@ import itertools
 import random
 import unicodedata
 
+import held_out
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -546,6 +547,40 @@ def recognizer():
 
 
 def test_held_out_sentences(recognizer):
+    """Written apart from the training patterns, with other names."""
+    true, found, hit = {}, {}, {}
+    for text, right in held_out.cases():
+        got = {(k, v) for k, v, _, _ in recognizer.find(text)}
+        for counted, some in ((true, right), (found, got), (hit, got & right)):
+            for kind, _ in some:
+                counted[kind] = counted.get(kind, 0) + 1
+    for kind in pii.KINDS:
+        assert hit[kind] / true[kind] >= 0.9 and hit[kind] / found[kind] >= 0.9, kind
+
+
+def test_scores_are_the_sums_of_the_named_features(recognizer):
+    for text, _ in held_out.cases()[:12]:
+        doc = pii.Text(text)
+        for c, scored in zip(pii.candidates(doc), recognizer.scores(pii.candidates(doc)), strict=True):
+            kind, shape, left, right = c[2:]
+            names = [kind, *(f"{kind}|{f}" for f in (*shape, *pii.left_features(left), *pii.right_features(right)))]
+            assert scored[:3] == c[:3] and scored[3] == pytest.approx(sum(recognizer.weights.get(f, 0.0) for f in names))
+
+
+def test_long_names_and_addresses_are_candidates_as_a_whole():
+    name = "Nguyễn Phúc Bảo Long Hoàng Minh Khang Thái"
+    place = "12 đường " + ", phường ".join(["Tân Phú Đông Hưng Thịnh"] * 12)
+    spans = {(k, text[s:e]) for text in (f"Gặp {name} ở cổng.", f"Ở {place}.") for s, e, k, *_ in pii.candidates(pii.Text(text))}
+    assert ("name", name) in spans and ("address", place) in spans
+
+
+def test_the_corpus_teaches_its_own_surroundings():
+    rows = [f"Biển kỷ niệm ghi {n} nhé." for n in ("Trần Văn Nam", "Lê Thị Hoa", "Phạm Minh Tuấn", "Vũ Đức Long", "Đặng Thu Hà")] * 30
+    taught = pii.train_recognizer(rows)
+    assert [v for _, v, _, _ in taught.find("Biển kỷ niệm ghi Zorel Quintar nhé.")] == ["Zorel Quintar"]
+
+
+def test_sentences_of_the_training_patterns(recognizer):
     hit = found = true = 0
     for text, gold in pii.training_samples(copies=4, seed=2024):
         got = set(recognizer.segments(pii.Text(text)))
