@@ -5,10 +5,12 @@ refusal, echo, foreign or unfinished, from its words, its overlap with the
 question, its language against the language the question asks for, and its end.
 The words covered by each tag decide the defect of the pair.
 
-The field is trained at run time on a bounded sample of the corpus: complete
-answers as they stand and without their full stop, cut off at random places
-(unfinished), questions as answers (echo), and the phrases below as refusals and
-as sentences in other languages. Counts and decisions cover every row.
+The field alone decides: its features say how far words are shared or foreign and how
+the text ends, none of them forbids a tag, but that only the last clause can be
+unfinished. It is trained at run time on a bounded sample of the corpus (``SAMPLE_ROWS``
+pairs): complete answers as they stand and without their full stop, cut off at random
+places (unfinished), questions as answers (echo), and the phrases below as refusals and
+as sentences in other languages. The table of known words comes from all answers.
 """
 
 from __future__ import annotations
@@ -30,10 +32,13 @@ ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 #: Pairs of the corpus the tagger is trained on, at most.
 SAMPLE_ROWS = 2_500
 
+#: Clauses of a training sequence; longer answers are learned in parts of this many.
+TRAIN_CLAUSES = 24
+
 #: Hashed word features.
 BUCKETS = 1 << 16
 
-LANGUAGES = ("vi", "en", "fr", "de", "es", "ru", "zh", "ja", "ko", "other")
+LANGUAGES = ("vi", "en", "fr", "de", "es", "ru", "zh", "ja", "ko", "other", "it", "pt", "nl", "pl", "id", "tr", "sv", "cs")
 
 #: Frequent words by language, without accents.
 FREQUENT_WORDS = {
@@ -44,12 +49,20 @@ FREQUENT_WORDS = {
     "en": "visit eat get much the is and you for of to in at with from are this that it on by or be not can have has will your more an as"
     " but about how what when where which per if so there they should try i me my we our was than then them us could"
     " would do does did must no yes above all near before after",
-    "fr": "le la les des du de et est une un au aux en que qui pour dans sur se vous on avec par pas plus sont ce il"
+    "fr": "la le les des du de et est une un au aux en que qui pour dans sur se vous on avec par pas plus sont ce il"
     " elle son ses quand bonnes bonne meilleure a d l y ou mais nous leur matin",
     "de": "der die das und ist nicht ein eine mit von zu den dem im am auf fur wird werden kann sich sobald etwa nach"
     " aus bei oder sie es kleine beste gut",
     "es": "el la los las de y es en un una por para con que se del al esta son muy cuando mejor a su mas pero o lo como"
     " ninos entrada",
+    "it": "il lo la gli le di e un una per con che si della del dei nel nella sono molto anche piu questo non alla da come quando ma",
+    "pt": "o a os as de e um uma para com que nao do da dos das em no na mais muito por sao voce pelo pela esta mas quando ao",
+    "nl": "de het een en van is op te dat niet met voor er zijn aan ook naar door maar je bij uit om wordt kan meer",
+    "pl": "i w z na do sie jest nie to od po za ale jak lub przez dla oraz sa tam ze przy bardzo mozna ktory juz",
+    "id": "yang dan di ke dari untuk dengan ini itu ada tidak pada adalah anda bisa akan juga atau lebih saya kami sangat",
+    "tr": "ve bir bu da de icin ile cok daha en gibi olarak var yok degil ne ya kadar sonra her",
+    "sv": "och att det som en pa ar av for med den till inte om ett kan du har vid fran eller men och af er ikke",
+    "cs": "a v na je se s z do to ze za po ale jako pro od jsou neni nebo ktery u pri velmi",
 }
 
 #: Names of languages in questions, Vietnamese (accents optional) and English.
@@ -63,61 +76,124 @@ ASKED = {
     "ja": r"ti[eế]ng\s+nh[aậ]t|japanese",
     "ko": r"ti[eế]ng\s+h[aà]n|korean",
     "vi": r"ti[eế]ng\s+vi[eệ]t|vietnamese",
+    "it": r"ti[eế]ng\s+[yý]\b|italian",
+    "pt": r"ti[eế]ng\s+b[oồ]\s+[dđ][aà]o\s+nha|portuguese",
+    "nl": r"ti[eế]ng\s+h[aà]\s+lan|dutch",
+    "pl": r"ti[eế]ng\s+ba\s+lan|polish",
+    "id": r"ti[eế]ng\s+indonesia|indonesian|malay",
+    "tr": r"ti[eế]ng\s+th[oổ]\s+nh[iĩ]\s+k[yỳ]|turkish",
+    "sv": r"ti[eế]ng\s+th[uụ]y\s+[dđ]i[eể]n|swedish|danish|norwegian",
+    "cs": r"ti[eế]ng\s+s[eé]c|czech",
+    "other": r"ti[eế]ng\s+(?:th[aá]i|[aả]\s+r[aậ]p|hindi|khmer|l[aà]o)|thai\b|arabic|hindi|khmer",
 }
 
-#: Phrases that decline to answer, for training.
+#: Phrases that decline to answer, for training; general knowledge, in many wordings.
 REFUSALS = """
-Xin lỗi, tôi không thể trả lời câu hỏi này.
-Rất tiếc, tài liệu hiện có không chứa thông tin về {x}.
-Không đủ thông tin để trả lời.
-Tôi không biết câu trả lời cho câu hỏi về {x}.
-Mình không có đủ căn cứ để đáp lại câu này, bạn thử liên hệ quầy thông tin nhé.
-Thành thật xin lỗi bạn! Nội dung về {x} không có trong kho tư liệu nên tôi không thể cung cấp.
-Câu hỏi này nằm ngoài phạm vi hỗ trợ của tôi, vui lòng hỏi nội dung khác.
-Hiện tại hệ thống từ chối xử lý yêu cầu của bạn. Hãy thử lại với chủ đề du lịch.
-Là một trợ lý ảo, tôi không được phép đưa ra ý kiến về vấn đề này.
-Ngữ cảnh không đề cập đến {x}, vì vậy tôi xin phép không trả lời.
-Tôi chưa tìm thấy dữ liệu về {x}, mong bạn thông cảm.
-Tôi không có thông tin về {x} nên không thể giúp bạn.
-Rất tiếc, tôi không được cung cấp thông tin về {x}.
-Xin lỗi bạn, hiện mình chưa có thông tin này.
-Mình xin phép từ chối trả lời câu hỏi này.
-Tôi không thể hỗ trợ yêu cầu này.
-Tài liệu không nói gì về {x}, nên tôi không thể trả lời.
-Tôi chưa tìm thấy dữ liệu nào liên quan trong nguồn được cung cấp, mong bạn hỏi lại sau.
-Dạ, phần này em chưa được cung cấp dữ liệu nên em xin không tư vấn ạ.
-Em không rõ thông tin này, mong anh chị thông cảm.
-Chúng tôi không thể cung cấp nội dung bạn yêu cầu.
-Nội dung này không thuộc phạm vi tư vấn của mình.
-I'm sorry, but I can't help with that.
-The sources I was given say nothing about {x}, so I am unable to answer.
-As a virtual assistant I must decline to comment on this.
-Sorry, I do not know the answer to this question.
-I cannot answer this question with the information I have.
-There is not enough information to answer.
-I don't have any information about {x}.
-This question is outside the scope of what I can help with.
-I am not able to assist with this request.
-That question is outside what I can assist with.
-I could not find anything about {x} in the documents provided.
-My apologies, I have no data on {x}, so I would rather not answer.
+Tôi không thể trả lời.
+Mình chịu, không biết câu này.
+Mình không nắm rõ chuyện này.
+Chuyện đó mình không nắm được.
+Mình không nắm được thông tin về {x}.
+Việc này ngoài phạm vi của tôi nên tôi từ chối.
+Đây là chủ đề tôi không tư vấn, tôi xin từ chối.
+Sorry, no idea about that.
+Em không rành về {x}, anh chị hỏi chỗ khác giúp em.
+Tôi không có dữ liệu về {x}.
+Tôi không tìm được thông tin nào về {x}.
+Tôi không có thông tin để trả lời câu này.
+Tôi không đủ thông tin để trả lời bạn.
+Không có thông tin trong tài liệu.
+Không tìm thấy câu trả lời trong tài liệu.
+Tài liệu không nhắc đến {x}.
+Tài liệu tôi có không chứa nội dung này.
+Trong phần văn bản được cung cấp không có chi tiết về {x}.
+Nguồn tư liệu hiện có không nói đến {x} nên tôi không trả lời được.
+Ngữ cảnh không có câu trả lời.
+Không có căn cứ nào để trả lời câu hỏi.
+Xin lỗi, mình không giúp được việc này.
+Xin lỗi, tôi không trả lời được câu hỏi của bạn.
+Xin lỗi, câu hỏi vượt quá khả năng của tôi.
+Rất tiếc, tôi chưa có câu trả lời cho bạn.
+Rất tiếc, tôi không hỗ trợ được chủ đề này.
+Thật tiếc là hệ thống chưa có dữ liệu về {x}.
+Câu này ngoài khả năng của mình.
+Chủ đề này nằm ngoài phạm vi của trợ lý.
+Câu hỏi không thuộc lĩnh vực tôi phụ trách.
+Nội dung ngoài phạm vi, mời bạn hỏi chuyện khác.
+Tôi xin phép không trả lời câu này.
+Tôi từ chối trả lời.
+Tôi phải từ chối yêu cầu của bạn.
+Mình xin không bàn về vấn đề này.
+Tôi không được phép nói về việc đó.
+Là một mô hình ngôn ngữ, tôi không thể đưa ra ý kiến.
+Tôi chỉ là trợ lý tự động nên không thể làm việc này.
+Hiện chưa có thông tin, bạn vui lòng quay lại sau.
+Hiện tôi chưa được cập nhật về {x}.
+Em chưa được cung cấp thông tin phần này ạ.
+Mình chưa nghe nói về {x}, bạn thông cảm.
+Bạn vui lòng liên hệ nơi khác vì mình không có số liệu.
+Bạn nên hỏi ban quản lý, tôi không có thông tin.
+Yêu cầu này tôi không thực hiện được.
+I cannot answer that.
+I can't answer this one.
+I can't help you with this.
+I am unable to help with that request.
+I'm not able to answer, sorry.
+No idea, sorry.
+I don't know.
+I do not know anything about {x}.
+I have no information on {x}.
+Sorry, there is no information about {x}.
+Sorry, I can't say.
+I'm afraid I don't have an answer.
+I'm afraid that is beyond what I can do.
+Unfortunately, I don't have enough details to answer.
+The documents do not mention {x}.
+The material says nothing on {x}, so I cannot tell.
+My sources say nothing about that.
+I was given no details on {x} and am unable to say.
+Nothing was given to me about {x}, so no answer is possible.
+The text provided does not contain the answer.
+Nothing in the context answers this question.
+There isn't enough information in the sources.
+I couldn't find any details about {x}.
+It is outside my scope.
+That topic falls outside what I was made for.
+I must decline.
+I would rather not answer that.
+As an AI model, I can't give opinions.
+I'm only an assistant and not allowed to discuss this.
+Please ask someone else, I have no data.
 """
 
 #: Answers that only sound like the phrases above, for training.
 NOT_REFUSALS = """
-Bạn không thể bỏ qua {x} khi tới đây, món này bán từ 9 giờ ở chợ sớm.
-Rất tiếc là tháng 7 hay mưa, nhưng {x} vẫn mở cửa và vé chỉ 90.000 đồng.
-Trong tiếng địa phương, câu xin lỗi thường đi kèm một cái cúi đầu nhẹ khi bạn bước vào {x}.
-Không có xe buýt tới {x}, nên bạn hãy đi thuyền từ bến.
-Tài liệu có ghi {x} mở cửa từ 8 giờ sáng.
-Bạn không cần đặt trước, chỉ cần mua vé tại {x}.
-Không được mang đồ ăn vào {x}, hãy gửi ở quầy.
-Người bán hàng sẽ từ chối nếu bạn trả giá quá thấp ở {x}.
-Thông tin về {x} được dán ở quầy vé, bạn có thể xem miễn phí.
-Sorry signs at {x} mean the gate is closed for lunch; it opens again at noon.
-You cannot miss {x}, it is right by the river.
-Unfortunately it rains in July, but {x} stays open and tickets are cheap.
-There is no bus to {x}, so take the boat.
+Bạn không thể bỏ lỡ {x} nếu đã tới đây.
+Không có vé nào đắt hơn 100.000 đồng ở {x}.
+Rất tiếc là mùa này hay mưa, nhưng {x} vẫn đông khách.
+Người dân ở đây hay nói lời xin lỗi khi đi ngang mặt khách ở {x}.
+Không có cầu sang {x}, bạn đi đò mất 10 phút.
+Tài liệu ở quầy ghi rõ giờ mở cửa của {x}.
+Bạn không cần xin phép, cứ vào {x} và mua vé.
+Không được hút thuốc trong {x}.
+Chủ quán sẽ từ chối nếu khách quá đông, nên hãy tới {x} sớm.
+Thông tin về {x} có ở bảng tin ngoài cổng.
+Không phải ngày nào {x} cũng mở, hãy đi thứ bảy.
+Nếu không biết đường, bạn hỏi người bán hàng gần {x}.
+Bạn có thể hỏi ban quản lý {x} để thuê xe đạp.
+Ngoài phạm vi 2 km quanh {x} thì có nhiều quán ăn.
+Không, {x} không thu phí.
+Không bao xa đâu, từ bến tới {x} chừng 2 km.
+The sorry state of the road to {x} was mended last year.
+You can't go wrong with {x}; go early.
+Unfortunately {x} is closed on Mondays, so go on Tuesday.
+There is no fee at {x}.
+No, {x} does not open at night.
+I don't think you need a guide for {x}; the path is marked.
+Nobody is allowed to swim at {x} after dark.
+If you don't know the way to {x}, follow the river.
+Information about {x} is posted at the gate.
+You cannot park at {x}, use the lot by the market.
 """
 
 #: Openings that carry no content, for training.
@@ -131,11 +207,21 @@ SENTENCES = {
     "de": "Die Straße nach {x} ist ruhig und es gibt viele Lokale.|Am besten besucht man {x} am Morgen, wenn die Luft kühl ist.",
     "es": "El camino a {x} es tranquilo y hay muchos lugares para comer.|La entrada a {x} cuesta 50.000 đồng por persona.",
     "ru": "Дорога до {x} спокойная, по пути много кафе.|Лучше приехать в {x} утром, когда прохладно.|Билет стоит 50.000 đồng на человека.",
-    "zh": "去{x}的路很安静，路边有很多小吃。|早上去{x}最好，天气凉爽。|门票每人50.000 đồng，孩子半价。|雨季以后来这里最好。",
-    "ja": "{x}までの道は静かで、食べる所もたくさんあります。|{x}へは涼しい朝に行くのがおすすめです。|入場料は一人50.000 đồngです。|朝の市場には果物が並びます。",
-    "ko": "{x}까지 가는 길은 조용하고 식당이 많습니다.|{x}에는 시원한 아침에 가는 것이 좋습니다.|입장료는 한 사람에 50.000 đồng입니다.|아침 시장에는 과일이 많습니다.",
+    "zh": "去{x}的路很安静，路边有很多小吃。|早上去{x}最好，天气凉爽。|门票每人50.000 đồng。|下雨天请带伞。",
+    "ja": "{x}までの道は静かで、食べる所もたくさんあります。|{x}へは涼しい朝に行くのがおすすめです。|入場料は一人50.000 đồngです。|駅から歩いて十分ほどです。",
+    "other": "ถนนไป {x} เงียบและมีร้านอาหารมากมาย|ควรไปตอนเช้าเพราะอากาศเย็น|الطريق إلى {x} هادئ وفيه مطاعم كثيرة|من الأفضل الزيارة في الصباح|{x} की सड़क शांत है और वहाँ कई दुकानें हैं|सुबह जाना सबसे अच्छा है",
+    "it": "La strada per {x} è tranquilla e ci sono molti posti dove mangiare.|Il biglietto costa 50.000 đồng per persona.",
+    "pt": "A estrada para {x} é calma e há muitos lugares para comer.|É melhor ir de manhã, quando está fresco.",
+    "nl": "De weg naar {x} is rustig en er zijn veel eethuizen.|Het is het beste om in de ochtend te gaan.",
+    "pl": "Droga do {x} jest spokojna i jest tam wiele miejsc do jedzenia.|Najlepiej jechać rano, kiedy jest chłodno.",
+    "id": "Jalan ke {x} tenang dan ada banyak tempat makan.|Sebaiknya datang pada pagi hari karena udara sejuk.",
+    "sv": "Vägen till {x} är lugn och det finns många ställen att äta på.|Det är bäst att åka på morgonen.",
+    "ko": "{x}까지 가는 길은 조용하고 식당이 많습니다.|{x}에는 시원한 아침에 가는 것이 좋습니다.|입장료는 한 사람에 50.000 đồng입니다.|역에서 걸어서 십 분쯤 걸립니다.",
 }
 
+#: Short complete answers, for training.
+SHORT_ANSWERS = ("30k mỗi người", "60k một vé nhé", "chừng 15 phút đi bộ", "tầm 5 giờ sáng", "sáng sớm là đẹp nhất", "không cần đâu bạn", "có nhé", "miễn phí", "gần chợ", "ở cuối đường", "tùy ngày ạ", "được bạn nhé", "khoảng hai tiếng", "áo ấm và giày bệt", "mở cả tuần")
+
 #: Frames around a repeated question, for training.
 ECHO_FRAMES = (
     "{q}", "{q}", "{q}", "Câu hỏi: {q}", "Hỏi: {q}", "Bạn hỏi: {q}", "“{q}”", "\"{q}\"", "{q}\n{q}", "{q} {q}", "{q}...",
@@ -145,7 +231,9 @@ ECHO_FRAMES = (
 #: What a cut-off answer may end with, for training.
 CUT_ENDS = ("", "", "", "", "", "...", "…", ",", ", bao gồm:", " như “", " (xem thêm", " (tức là", " **Lưu ý", " và", " vì", " nhưng", " với", " hoặc", " là", " cho", " như", " -", ":", " and", " but", " such as", " because", " (see", " of", " to")
 
-_TOKEN = re.compile(r"\n|\d+(?:[.,]\d+)*\w*|\w+|[^\w\s]")
+#: The Vietnamese "and so on" ends no sentence.
+_TOKEN = re.compile(r"\n|\b[vV]\.\s?[vV]\b\.?|\d+(?:[.,]\d+)*\w*|\w+|[^\w\s]")
+_WORDS = re.compile(r"[^\W\d_]+")
 _STUB = re.compile(r"\n\s*(?:\d+[.)]|[-*•])\s*$")
 _LIST = re.compile(r"\s*(?:\d+[.)]|[-*•])\s")
 _ASKED = re.compile("|".join(f"(?P<{k}>{v})" for k, v in ASKED.items()), re.IGNORECASE)
@@ -155,7 +243,7 @@ _KIND |= {c: _HANGING for c in ",;:-–—*/&+、，：；"}
 _KIND |= {c: _OPEN for c in "([{“‘«「（"}
 _KIND |= {c: _CLOSE for c in ")]}”’»」）"}
 _VI_LETTERS = set("ăđĩũơư") | {chr(c) for c in range(0x1EA0, 0x1EFA)}
-_DENSE = 22
+_DENSE = 32
 
 
 def fold(token: str) -> str:
@@ -176,7 +264,7 @@ def _word_votes() -> dict[str, np.ndarray]:
     for language, words in FREQUENT_WORDS.items():
         for w in words.split():
             votes.setdefault(w, np.zeros(len(LANGUAGES), np.float32))[LANGUAGES.index(language)] = 1
-    return {w: v / v.sum() for w, v in votes.items()}
+    return votes
 
 
 class Tokens:
@@ -341,12 +429,19 @@ class Clauses:
             for m in _ASKED.finditer(q):
                 allowed[i, LANGUAGES.index(m.lastgroup)] = True
         open_row = ~allowed.any(1)
-        heard = spoken.sum(1)
-        fits = (spoken * allowed[self.row]).sum(1)
+        # Words shared by languages count for each of them, and once among the words heard.
+        heard = np.add.reduceat(vote.max(1), heads) if total else np.zeros(0, np.float32)
+        fits = (spoken * allowed[self.row]).max(1, initial=0)
         main = spoken.argmax(1)
-        mismatch = (heard > 0.9) & ~allowed[self.row, main] & ~open_row[self.row]
+        mismatch = (heard > 0.9) & (fits < spoken.max(1, initial=0)) & ~open_row[self.row]
         strange = np.where(open_row[self.row], 0, (heard - fits) / (heard + 0.5))
 
+        # The language of the whole answer: a clause of few known words follows the others.
+        all_heard = np.bincount(self.row, weights=heard, minlength=n)
+        all_fits = np.bincount(self.row, weights=fits, minlength=n)
+        far = (all_heard > 1.9) & (all_fits < 0.5 * all_heard) & allowed.any(1)
+        all_strange = np.where(allowed.any(1), (all_heard - all_fits) / (all_heard + 0.5), 0)
+
         # Echo: words and word pairs of the clause that the question has, and the reverse.
         q_content = kind[q_ids] >= _WORD
         span = np.int64(1) << 32
@@ -376,8 +471,7 @@ class Clauses:
             end_kind[i] = _WORD if c.isalnum() else _KIND.get(c, _OTHER)
             dots[i] = t.endswith("...") or c == "…"
             if end_kind[i] != _TERMINAL:
-                tail = t[-60:]
-                open_end[i] = tail.rfind("(") > tail.rfind(")") or tail.rfind("“") > tail.rfind("”") or t.count("**") % 2 == 1
+                open_end[i] = t.rfind("(") > t.rfind(")") or t.rfind("“") > t.rfind("”") or t.count("**") % 2 == 1
             stub[i] = _STUB.search(t, max(0, len(t) - 12)) is not None
             listed[i] = _LIST.match(t) is not None
         r = self.row
@@ -388,7 +482,11 @@ class Clauses:
         if known is not None and total:
             end_token = ids[tails]
             rare = bare & ~known[plain[end_token] % len(known)] & (kind[end_token] == _WORD)
+        whole = (words_echoed > 0.99) & (pairs_echoed > 0.9) & (covered[r] > 0.95)
+        echoing = (words_echoed >= 0.7) & (covered[r] >= 0.5)
+        loose = (end_kind != _TERMINAL) | dots | stub | open_end
         columns = [
+            last & (end_kind[r] == _CLOSE), last & (end_kind[r] == _OTHER), 3 * whole, echoing, 3 * (far[r] & (fits < heard)), 2 * all_strange[r], mismatch & (strange > 0.75) & (heard >= 3), mismatch & (heard >= 2), last & loose[r], last & ~loose[r],
             np.ones(total), first, last, np.log1p(self.words), strange, mismatch, heard == 0,
             words_echoed, pairs_echoed, covered[r], (words_echoed > 0.85) & (covered[r] > 0.85), pairs_echoed > 0.8,
             bare, last & (end_kind[r] == _HANGING), last & dots[r], last & stub[r], last & open_end[r],
@@ -396,15 +494,9 @@ class Clauses:
         ]
         self.dense = np.stack([np.asarray(c, np.float32) for c in columns], 1) if total else np.zeros((0, _DENSE), np.float32)
 
-        # What a clause cannot be: foreign in a language that is welcome, an echo of
-        # words the question lacks, unfinished before the end or behind a full stop.
+        # Only the last clause of an answer can be unfinished.
         self.barred = np.zeros((total, 5), bool)
-        self.barred[:, FOREIGN] = ~mismatch
-        self.barred[:, ECHO] = (words_echoed < 0.7) | (covered[r] < 0.5)
-        whole = (words_echoed > 0.99) & (pairs_echoed > 0.9) & (covered[r] > 0.95)
-        self.barred[:, ANSWER] = whole | (mismatch & (strange > 0.75) & (heard >= 3))
-        loose = (end_kind != _TERMINAL) | dots | stub | open_end
-        self.barred[:, UNFINISHED] = ~(last & loose[r]) | whole
+        self.barred[:, UNFINISHED] = ~last
         self.allowed = allowed
         self.foreign_words = np.bincount(r, weights=np.where(mismatch, self.words, 0), minlength=n)
 
@@ -454,7 +546,7 @@ def _training_pairs(rows: list[tuple[str, str]], rng: np.random.Generator) -> li
         bare = re.sub(r"[\s.!。]+$", "", complete.sub("", a))
         if bare.strip():
             made.append((q, bare, ANSWER, True))
-            made.append((q, bare + pick((" (theo sổ tay)", " [1]", " 😊", "!", " v.v.", " (nguồn: sổ tay)")), ANSWER, True))
+            made.append((q, bare + pick((" (theo tài liệu)", " [1]", " 😊", "!", " v.v.", " (nguồn: sách hướng dẫn)", ". 🙏", ". (xem trang 2)", "! (see the map)")), ANSWER, True))
             items = [x.strip(" .") for x in re.split(r"(?<=[.!?])\s+", a) if x.strip(" .")]
             mark = pick(("- ", "* ", "• "))
             made.append((q, "\n".join(mark + x for x in items), ANSWER, True))
@@ -475,6 +567,8 @@ def _training_pairs(rows: list[tuple[str, str]], rng: np.random.Generator) -> li
     for q in questions:
         text = pick(ECHO_FRAMES).format(q=pick((q, q, q.rstrip(" ?.!"), q.lower(), q.upper(), plain(q), q.split("\n")[0], "  " + q.replace(" ", "  "))))
         made.append((q, text, ECHO, True))
+        if rng.random() < 0.5:
+            made.append((q, pick((q.rstrip(" ?.!"), q + "\n" + q, q)), ECHO, True))
         # A question repeated and then answered, and a short direct answer, are answers.
         if rng.random() < 0.3 and rows:
             made.append((q, pick(("{q} {a}", "{q} — {a}", "{q}: {a}", "{q}\n{a}")).format(q=q, a=pick(("Có, từ tháng 3 trở đi", "Khoảng 20 km", pick(places) + " nhé bạn", "9 giờ 30"))), -1, True))
@@ -482,7 +576,7 @@ def _training_pairs(rows: list[tuple[str, str]], rng: np.random.Generator) -> li
         if home and rng.random() < 0.4:
             made.append((q, pick(phrases) + pick((" và ", ", ", " hoặc ")) + pick(phrases), ANSWER, True))
         if home and rng.random() < 0.5:
-            made.append((q, pick(("Có, từ tháng 3 trở đi", "Khoảng 20 km", "9 giờ 30", "50.000 đồng", "50,000 VND", "120k", pick(places) + " nhé bạn", "Đi phà rồi đi bộ 9 phút 🙂", "xôi sen và chè bắp")), ANSWER, True))
+            made.append((q, pick(("Có, từ tháng 3 trở đi", "Khoảng 20 km", "9 giờ 30", "50.000 đồng", "50,000 VND", "120k", pick(places) + " nhé bạn", "Đi phà rồi đi bộ 9 phút 🙂", "xôi sen và chè bắp", *SHORT_ANSWERS)), ANSWER, True))
         asks = {k for k in ASKED if re.search(ASKED[k], q, re.IGNORECASE)}
         for text, tag, times in ((REFUSALS, REFUSAL, 0.9), (NOT_REFUSALS, ANSWER, 0.6)):
             if rng.random() < times:
@@ -545,8 +639,54 @@ class Tagger:
         return out
 
 
-def train_tagger(rows: list[tuple[str, str]], seed: int = 11) -> Tagger:
-    """Train on pairs of the corpus; without any, on the phrases alone."""
+#: Bits of the table of known words, and of one of its parts.
+WORD_BITS, PART_BITS = 1 << 20, 1 << 15
+
+
+def _own_words(text: str) -> list[str]:
+    """The words of a text without its last one, which may be cut off."""
+    return _WORDS.findall(_composed(text))[:-1]
+
+
+def _mark(table: np.ndarray, found: set[str]) -> None:
+    table[[_hash(fold(w)) % WORD_BITS for w in found]] = True
+
+
+def known_words(answers: DataFrame, column: str) -> np.ndarray:
+    """A table of bits of the words of all answers, by the hash of their folded form.
+
+    Every partition marks its own bits, which meet by or; 32 rows of 4 kB reach the
+    driver, however many answers there are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        marked = np.zeros(WORD_BITS, bool)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text:
+                    seen.update(_own_words(text))
+            if len(seen) > 500_000:
+                _mark(marked, seen)
+                seen.clear()
+        _mark(marked, seen)
+        bits = np.packbits(marked, bitorder="little").reshape(-1, PART_BITS // 8)
+        used = np.flatnonzero(bits.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([bits[i].tobytes() for i in used], pa.binary())], names=["part", "bits"])
+
+    met = arrow_map(answers.select(column), run, "part int, bits binary").groupBy("part").agg(F.bitmap_or_agg("bits").alias("bits"))
+    table = np.zeros((WORD_BITS // PART_BITS, PART_BITS // 8), np.uint8)
+    for r in met.collect():
+        table[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return np.unpackbits(table.ravel(), bitorder="little").astype(bool)
+
+
+def train_tagger(rows: list[tuple[str, str]], seed: int = 11, known: np.ndarray | None = None) -> Tagger:
+    """Train on pairs of the corpus; without any, on the phrases alone.
+
+    ``known`` has the words of all answers (see ``known_words``); without it the words of
+    ``rows`` count.
+    """
     rng = np.random.default_rng(seed)
     tokens = Tokens()
     # Answers in a strange language, or without words, teach nothing about sound ones.
@@ -567,15 +707,8 @@ def train_tagger(rows: list[tuple[str, str]], seed: int = 11) -> Tagger:
         c = Clauses(tokens, [q for q, _ in swapped], [a for _, a in swapped])
         spoken = np.bincount(c.row, weights=c.words, minlength=len(swapped))
         made += [(q, a, FOREIGN, True) for (q, a), f, w in zip(swapped, c.foreign_words, spoken, strict=True) if f > 0.6 * w]
-    known = np.zeros(1 << 20, bool)
-    for _, a in rows:
-        for t in _TOKEN.findall(_composed(a))[:-1]:
-            if t[0].isalpha():
-                known[_hash(fold(t)) % len(known)] = True
-    for text in (REFUSALS, NOT_REFUSALS, *SENTENCES.values()):
-        for t in _TOKEN.findall(text):
-            if t[0].isalpha():
-                known[_hash(fold(t)) % len(known)] = True
+    known = np.zeros(WORD_BITS, bool) if known is None else known.copy()
+    _mark(known, {w for _, a in rows for w in _own_words(a)} | {w for text in (REFUSALS, NOT_REFUSALS, *SENTENCES.values()) for w in _WORDS.findall(text)})
     c = Clauses(tokens, [m[0] for m in made], [m[1] for m in made], known)
     gold = np.full(len(c.row), ANSWER, np.int64)
     whole = np.array([m[3] for m in made])
@@ -585,15 +718,10 @@ def train_tagger(rows: list[tuple[str, str]], seed: int = 11) -> Tagger:
     gold = np.where(whole[c.row], tag[c.row], np.where(last, tag[c.row], ANSWER))
     # -1: a repeated question followed by an answer.
     gold = np.where(gold == -1, np.where(last & ~first, ANSWER, np.where(first & last, ANSWER, ECHO)), gold)
-    use = c.lengths <= 24
-    keep = use[c.row]
-    items = np.flatnonzero(keep)
-    counts = (c.starts[1:] - c.starts[:-1])[items]
-    starts = np.concatenate([[0], np.cumsum(counts)])
-    where = np.repeat(c.starts[items] - starts[:-1], counts) + np.arange(starts[-1])
     crf = ChainCRF(5, _DENSE, BUCKETS)
-    lengths = c.lengths[use & c.has_text]
-    crf.fit(c.dense[items], c.ids[where], c.values[where], starts, lengths, gold[items], epochs=8, batch=768, rate=0.08)
+    # Long answers are learned in parts of TRAIN_CLAUSES, none is left out.
+    parts = [part for n in c.lengths if n for part in [TRAIN_CLAUSES] * (n // TRAIN_CLAUSES) + [n % TRAIN_CLAUSES] if part]
+    crf.fit(c.dense, c.ids, c.values, c.starts, np.array(parts), gold, epochs=8, batch=768, rate=0.08)
     return Tagger(crf, known)
 
 
@@ -634,7 +762,7 @@ def tag_answers(pairs: DataFrame, tagger: Tagger) -> DataFrame:
 
 def sample_pairs(turns: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
     """At most ``rows`` pairs with a question and an answer, the same ones each time."""
-    whole = turns.where(F.col("question").rlike(HAS_TEXT) & F.col("answer").rlike(HAS_TEXT)).where("length(answer) < 2000 and length(question) < 600")
+    whole = turns.where(F.col("question").rlike(HAS_TEXT) & F.col("answer").rlike(HAS_TEXT))
     share = min(1.0, 2.0 * rows / max(1, turns.count()))
     mark = F.xxhash64("question", "answer")
     if share < 1:
@@ -647,11 +775,12 @@ def defective_answers(turns: DataFrame, results: DataFrame, tagger: Tagger | Non
     """``(tbl, id, defect)`` of chat turns and evaluation results.
 
     Every version of a turn is tagged where it is read; then the valid version of
-    each id is chosen by its small columns, so no text is shuffled. A refusal is no
-    defect where ``expected_behavior`` is ``refuse``. Null ids are left out.
+    each id is chosen by its small columns: the latest with an answer, then by a hash of
+    its texts. Texts are shuffled only where the input has fewer partitions than cores
+    (see ``runtime.spread``). A refusal is no defect where ``expected_behavior`` is ``refuse``. Null ids are left out.
     """
     if tagger is None:
-        tagger = train_tagger(sample_pairs(turns))
+        tagger = train_tagger(sample_pairs(turns), known=known_words(turns, "answer"))
     both = turns.select(
         F.lit("chat_turns").alias("tbl"), "id", "created_at", has_text(F.col("question")).alias("has_q"),
         F.lit(False).alias("may_refuse"), "question", "answer",
@@ -661,10 +790,10 @@ def defective_answers(turns: DataFrame, results: DataFrame, tagger: Tagger | Non
             F.coalesce(F.col("expected_behavior") == "refuse", F.lit(False)).alias("may_refuse"), "question", "answer",
         )
     )
-    both = both.where(F.col("id").isNotNull()).withColumn("has_a", has_text(F.col("answer")))
+    both = both.where(F.col("id").isNotNull()).withColumns({"has_a": has_text(F.col("answer")), "digest": F.xxhash64("question", "answer")})
     tagged = tag_answers(both, tagger)
     defect = F.when(F.col("may_refuse") & (F.col("defect") == "refusal"), None).otherwise(F.col("defect"))
-    valid = tagged.groupBy("tbl", "id").agg(F.max(F.struct("has_a", "created_at", "has_q", defect.alias("defect"))).alias("v"))
+    valid = tagged.groupBy("tbl", "id").agg(F.max(F.struct("has_a", "created_at", "has_q", "digest", defect.alias("defect"))).alias("v"))
     return valid.where("v.defect is not null").select("tbl", "id", "v.defect")
 
 

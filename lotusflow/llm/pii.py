@@ -66,6 +66,8 @@ _USER, _LABEL = r"(?<![\w.+\-])[A-Za-z0-9][\w.+\-]*", r"[A-Za-z0-9][A-Za-z0-9\-]
 _EMAIL = re.compile(
     rf"{_USER}(?:{_AT}{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[A-Za-z]{{2,}}|\s(?:at|a còng)\s{_LABEL}(?:{_DOT_WORD}{_LABEL})*{_DOT_WORD}[A-Za-z]{{2,}})(?![\w@])"
 )
+#: Without one of these a text has no email address.
+_AT_HINT = re.compile(r"[@＠]|[\s(\[{](?:at|a|a còng)[\s)\]}]")
 _LEVELS = (
     r"đường|phố|ngõ|ngách|hẻm|kiệt|thôn|ấp|xóm|bản|tổ|khu phố|khu|phường|quận|thành phố|thị xã|thị trấn|xã|huyện|tỉnh"
     r"|Đường|Phố|Phường|Quận|Thành phố|Xã|Huyện|Tỉnh|P\.|Q\.|TP\.|Tp\.|H\.|T\.|Đ\.|đ\.|X\."
@@ -122,7 +124,7 @@ def _class(word: str, before: str = "") -> str:
     return _CLASS.get(f"{before} {word}") or _CLASS.get(word, "-")
 
 
-_DASHES = set(map(chr, range(0x2010, 0x2016)))
+_DASH = re.compile(f"[{chr(0x2010)}-{chr(0x2015)}]")
 
 
 class Text:
@@ -141,7 +143,10 @@ class Text:
                 out.append(c)
                 back += [m.start()] * len(c)
             self.text, self.back = "".join(out), [*back, len(text)]
-        self.tokens = [("-" if m.group() in _DASHES else m.group(), m.start(), m.end()) for m in _TOKEN.finditer(self.text)]
+        # Dashes of every kind are one, character for character.
+        if _DASH.search(self.text):
+            self.text = _DASH.sub("-", self.text)
+        self.tokens = [(m.group(), *m.span()) for m in _TOKEN.finditer(self.text)]
         self.starts = [s for _, s, _ in self.tokens]
 
     def value(self, start: int, end: int) -> str:
@@ -330,52 +335,87 @@ def _known(word: str) -> str:
     return "m" if word in _MIDDLE else "s" if word in _SURNAMES else "g" if word in _GIVEN else "f" if word in _FOREIGN else "-"
 
 
+#: What is known of a word, kept per worker: capital, in capitals, Vietnamese by its letters, ASCII, its lists at the head and inside, its class.
+_words: dict[str, tuple | None] = {}
+
+
+def _word(token: str) -> tuple | None:
+    made = _words.get(token, 0)
+    if made == 0:
+        if len(_words) > 200_000:
+            _words.clear()
+        made = None
+        if token[0].isalpha() and not any(ord(c) > 0x2000 for c in token if c != "’"):
+            low = token.lower()
+            made = (
+                token[0].isupper(), token.isupper() and len(token) > 1, len(token) <= 7 and token.isalpha() and not re.search("[fjwzFJWZ]", token), token.isascii(),
+                "s" if low in _SURNAMES else "f" if low in _FOREIGN else "-", _known(low), _CLASS.get(low, "-"), low, token in _LOWER_SURNAMES,
+            )
+        _words[token] = made
+    return made
+
+
+def _name_shape(head: tuple, last: tuple, middle: str, size: int, flags: tuple) -> tuple:
+    """The features of a run of words as a name; made once for each different shape."""
+    lower, caps, native, latin, left, right, titled, opening, city = flags
+    first, kind, low = head[4], head[6], head[7]
+    style = "lower" if lower else "upper" if caps == size else "title" if caps == 0 else "mixed"
+    fl = f"{first}{middle}{last[5]}"
+    return (
+        f"size={size}", f"fl={fl}", f"first={first} size={size}", f"style={style}", f"style={style} fl={fl}", f"edge={left}{right}",
+        f"native={native}{latin}", f"native={native} size={size}", f"open={opening}", f"open={opening} first={first}", f"titled={titled}", f"titled={titled} lower={lower}",
+        f"city={city}", f"w0={kind}", f"w0={kind} fl={fl}", f"h={low}", f"wl={last[6]}", f"edge={left}{right} first={first}",
+    )
+
+
+_shapes: dict[tuple, tuple] = {}
+
+
 def _name_candidates(doc: Text) -> Iterator[tuple[int, int, str, tuple]]:
     t, text = doc.tokens, doc.text
     n = len(t)
-    starts = [i for i, (w, _, _) in enumerate(t) if w[0].isupper() or w in _LOWER_SURNAMES]
-    for i in starts:
-        word = t[i][0]
-        lower = not word[0].isupper()
-        at_left = i > 0 and t[i][1] - t[i - 1][2] == 1 and text[t[i - 1][2]] != "\n"
-        left = at_left and t[i - 1][0][0].isupper()
-        titled = i > 0 and (_fold(t[i - 1][0]) in _TITLES or (t[i - 1][0] == "." and i > 1 and _fold(t[i - 2][0]) in _TITLES))
-        # A name may be written in lower case, family name first.
-        if lower and at_left and t[i - 1][0] in _LOWER_SURNAMES and not titled:
+    known = [_word(w) for w, _, _ in t]
+    # Whether a word stands one blank behind the word before it.
+    near = [False] * (n + 1)
+    for i in range(1, n):
+        s = t[i][1]
+        near[i] = s - t[i - 1][2] == 1 and known[i] is not None and known[i - 1] is not None and text[s - 1] != "\n"
+    for i in range(n - 1):
+        head = known[i]
+        if head is None or not near[i + 1] or not (head[0] or head[8]):
             continue
-        opening = i == 0 or t[i - 1][0] in ".!?\n#:"
-        j, run = i, [i]
-        while j + 1 < n:
-            w, s, _ = t[j + 1]
-            if s - t[j][2] != 1 or text[t[j][2]] == "\n" or not w[0].isalpha() or w[0].isupper() == lower or any(ord(c) > 0x2000 for c in w if c != "’"):
-                break
-            j += 1
-            run.append(j)
-            if lower and len(run) == 5:
-                break
-        if any(ord(c) > 0x2000 for c in word if c != "’") or len(run) < 2:
+        lower = not head[0]
+        if known[i + 1][0] == lower:
             continue
-        sizes = [*range(2, min(len(run), NAME_WORDS) + 1), *([len(run)] if len(run) > NAME_WORDS else [])]
-        low = [t[x][0].lower() for x in run]
-        for size in sizes:
-            some = [t[x][0] for x in run[:size]]
-            caps = sum(w.isupper() and len(w) > 1 for w in some)
-            style = "lower" if lower else "upper" if caps == size else "title" if caps == 0 else "mixed"
-            first = "s" if low[0] in _SURNAMES else "f" if low[0] in _FOREIGN else "-"
-            fl = "".join((first, "" if size < 3 else _known(low[1]), _known(low[size - 1])))
-            right = size < len(run) or (not lower and j + 1 < n and t[j + 1][0][0].isupper() and t[j + 1][1] - t[j][2] == 1)
-            city = " ".join(low[:size]) in _CITY
-            tail = _CLASS.get(low[size - 1], "-")
-            # Words that look Vietnamese: one syllable with at most seven letters.
-            native = all(len(w) <= 7 and w.isalpha() for w in some) and not any(re.search("[fjwzFJWZ]", w) for w in some)
-            latin = all(w.isascii() for w in some)
-            size = min(size, NAME_WORDS + 1)
-            kind = _CLASS.get(low[0], "-")
-            yield t[i][1], t[run[min(size, len(run)) - 1] if size <= NAME_WORDS else j][2], "name", (
-                f"size={size}", f"fl={fl}", f"first={first} size={size}", f"style={style}", f"style={style} fl={fl}", f"edge={left}{right}",
-                f"native={native}{latin}", f"native={native} size={size}", f"open={opening}", f"open={opening} first={first}", f"titled={titled}", f"titled={titled} lower={lower}",
-                f"city={city}", f"w0={kind}", f"w0={kind} fl={fl}", f"h={low[0]}", f"wl={tail}", f"edge={left}{right} first={first}",
-            )
+        before = t[i - 1][0] if i else "^"
+        titled = i > 0 and (_fold(before) in _TITLES or (before == "." and i > 1 and _fold(t[i - 2][0]) in _TITLES))
+        # A name may be written in lower case, family name first.
+        if lower and near[i] and before in _LOWER_SURNAMES and not titled:
+            continue
+        left = near[i] and known[i - 1][0]
+        opening = i == 0 or before in ".!?\n#:"
+        end = i + 1
+        while end + 1 < n and near[end + 1] and known[end + 1][0] != lower and not (lower and end - i == 4):
+            end += 1
+        caps, native, latin = int(head[1]), head[2], head[3]
+        for j in range(i + 1, end + 1):
+            word, size = known[j], j - i + 1
+            caps += word[1]
+            native, latin = native and word[2], latin and word[3]
+            if size > NAME_WORDS and j < end:
+                continue
+            right = j < end or (not lower and near[j + 1] and known[j + 1][0])
+            city = size < 4 and " ".join(w[7] for w in known[i : j + 1]) in _CITY
+            middle = "" if size < 3 else known[i + 1][5]
+            shown = min(size, NAME_WORDS + 1)
+            flags = (lower, shown if caps == size else min(caps, 1), native, latin, left, right, titled, opening, city)
+            key = (head[4], head[6], head[7], word[5], word[6], middle, shown, flags)
+            shape = _shapes.get(key)
+            if shape is None:
+                if len(_shapes) > 200_000:
+                    _shapes.clear()
+                shape = _shapes[key] = _name_shape(head, word, middle, shown, flags)
+            yield t[i][1], t[j][2], "name", shape
 
 
 def candidates(doc: Text) -> list[Candidate]:
@@ -383,7 +423,7 @@ def candidates(doc: Text) -> list[Candidate]:
     if doc.found is not None:
         return doc.found
     found = []
-    for m in _EMAIL.finditer(doc.text):
+    for m in _EMAIL.finditer(doc.text) if _AT_HINT.search(doc.text) else ():
         value = m.group()
         form = "sign" if re.search("[@＠]", value) else "word"
         found.append((m.start(), m.end(), "email", (f"form={form}", f"space={' ' in value}")))

@@ -3,6 +3,7 @@ import random
 import unicodedata
 
 import held_out
+import held_out_answers
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -438,6 +439,33 @@ def test_defects(tagger, question, answer, defect):
     assert tagger.defects(answers.Tokens(), [question], [answer]) == [defect]
 
 
+def test_held_out_answers(spark):
+    """Written apart from the training phrases; the field sees pairs of a small corpus."""
+    turns = spark.read.parquet("/root/testdata/sf0.01/chat_turns.parquet")
+    taught = answers.train_tagger(answers.sample_pairs(turns), known=answers.known_words(turns, "answer"))
+    got = taught.defects(answers.Tokens(), [c[0] for c in held_out_answers.CASES], [c[1] for c in held_out_answers.CASES])
+    right = [c[2] for c in held_out_answers.CASES]
+    for kind in ("empty", "truncated", "refusal", "copy", "other_language"):
+        hit = sum(g == r == kind for g, r in zip(got, right, strict=True))
+        assert hit / right.count(kind) >= 0.8 and hit / got.count(kind) >= 0.8, kind
+    assert sum(g == r for g, r in zip(got, right, strict=True)) / len(right) >= 0.9
+
+
+def test_known_words_come_from_all_answers(spark):
+    df = spark.createDataFrame([("Bạn nên ghé quán cá",), ("Một hai ba",), (None,), ("",)] * 3, "answer string").repartition(3)
+    known = answers.known_words(df, "answer")
+    marked = lambda w: bool(known[answers._hash(answers.fold(w)) % answers.WORD_BITS])
+    assert [marked(w) for w in ("ban", "quán", "hai", "cá", "ba")] == [True, True, True, False, False] and known.sum() == 6
+
+
+def test_long_answers_teach_and_an_early_bracket_counts(tagger):
+    long = " ".join(f"Vé {i} có giá 50.000 đồng cho người lớn." for i in range(60))
+    assert answers.train_tagger([("Giá vé là bao nhiêu?", long)] * 3).defects(answers.Tokens(), ["Giá vé là bao nhiêu?"], [long]) == [None]
+    far = answers.Clauses(answers.Tokens(), ["q"], ["Xem bảng (" + "giá vé cho người lớn và trẻ em " * 5])
+    near = answers.Clauses(answers.Tokens(), ["q"], ["Xem bảng (" + "giá vé cho người lớn và trẻ em " * 5 + ")"])
+    assert far.dense[-1].tolist() != near.dense[-1].tolist()
+
+
 def test_defective_rows(spark, tagger):
     turns = turn_rows(spark, [("1", "s", 1, "q", None), ("1", "s", 1, "q", "Vé vào cổng hiện là 20.000 đồng cho người lớn."), ("2", "s", 2, "q", ""), (None, "s", 3, "q", None)])
     results = spark.createDataFrame(
