@@ -35,3 +35,11 @@ SYSTEM_PROMPT = (
     '- Nếu không đủ thông tin, hãy nói "Tôi không có đủ thông tin để trả lời"'
 )
 EVAL_CATEGORIES = ["easy", "hard", "ambiguous", "missing", "out-of-scope"]
+
+#: Requests to the writers of summaries and to the judge, written for this engine.
+SUMMARY_REQUEST = "Tóm tắt cuộc trò chuyện dưới đây thật ngắn, giữ lại tên riêng, con số và điều người dùng muốn.\n\n"
+SUMMARY_BEFORE, SUMMARY_TURNS = "Tóm tắt trước:\n", "Các lượt mới:\n"
+JUDGE_REQUEST = "Chấm câu trả lời. Chỉ trả về JSON với correctness (1-5), relevance (1-5), hallucination, refusal_appropriate (yes, no, n/a), reasoning.\n\n"
+REWRITE_REQUEST = "Viết lại câu hỏi để tìm kiếm. Chỉ trả về JSON với rewritten_query và intent.\n\n"
+SUITE_REQUEST = "Soạn câu hỏi kiểm tra theo các loại easy, hard, out-of-scope, missing, ambiguous, mỗi loại 5 câu, dưới dạng mảng JSON.\n\n"
+NO_KEYWORDS = "Không có"

@@ -12,7 +12,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from lotusflow.functions.fixed import MAGIC_WORDS, REFERENCE_HEADINGS
+from lotusflow.functions.fixed import MAGIC_WORDS
 from lotusflow.runtime import ship
 
 #: White space as Python counts it: Unicode blanks and the four separators.
@@ -111,28 +111,6 @@ def turn_tokens(question: Column, answer: Column, divisor: int = 3) -> Column:
     return estimated_tokens(question, divisor) + estimated_tokens(answer, divisor)
 
 
-def is_list_line(line: Column) -> Column:
-    """A line that begins with a bullet, a heading mark or a number."""
-    return strip(line).rlike(r"(?U)^([*#\-]|\p{Nd}+[.)]\s)")
-
-
-def is_heading_line(line: Column) -> Column:
-    """A short line that looks like a heading: capital or digit first, no closing mark."""
-    t = strip(line)
-    return (
-        (F.length(t) > 0)
-        & (F.length(t) <= 100)
-        & (token_count(t) <= 10)
-        & ~t.rlike(r"[.!?;:,]\z")
-        & t.rlike(r"^[A-Z\x{C0}-\x{1EF8}\x{110}0-9]")
-    )
-
-
-def is_reference_heading(title: Column) -> Column:
-    """A title of a section of references."""
-    return F.lower(strip(title)).isin(REFERENCE_HEADINGS)
-
-
 def cache_key(model: Column, version: Column, query: Column) -> Column:
     """Key of a rewritten query."""
     return F.sha2(F.concat_ws("|", model, version, query), 256)
@@ -170,18 +148,6 @@ def fenced_json(text: Column) -> Column:
     return strip(F.regexp_replace(strip(text), r"(?s)\A```[^\n]*\n|\n?```\s*\z", ""))
 
 
-def context_prefix(title: Column, path: Column) -> Column:
-    """The sentence that tells a chunk's document and section."""
-    inner = F.array_join(F.slice(path, 2, F.greatest(F.size(path) - 1, F.lit(0))), " > ")
-    return F.concat(
-        F.lit("This chunk is from the '"),
-        title,
-        F.when(F.size(path) > 1, F.concat(F.lit("' document, specifically the '"), inner, F.lit("' section."))).otherwise(
-            F.lit("' document.")
-        ),
-    )
-
-
 def iso_time(value: Column) -> Column:
     """A timestamp with microseconds and Z."""
     return F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")

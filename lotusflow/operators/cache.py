@@ -15,6 +15,11 @@ def fresh(cache: DataFrame, now: Column, days: int | None = CACHE_DAYS) -> DataF
     return cache if days is None else cache.where(F.col("created_at") >= now - F.make_dt_interval(days=F.lit(days)))
 
 
+def expired(cache: DataFrame, now: Column, days: int = CACHE_DAYS) -> DataFrame:
+    """Entries that an expiry removes; ``fresh`` keeps the others, an empty selection clears the cache."""
+    return cache.where(F.col("created_at") < now - F.make_dt_interval(days=F.lit(days)))
+
+
 def lookup(requests: DataFrame, cache: DataFrame, now: Column, model: str, version: str, days: int | None = CACHE_DAYS) -> DataFrame:
     """Requests ``(raw_query)`` with ``cache_key`` and the cached columns, null where there is no fresh entry."""
     keyed = requests.withColumn("cache_key", T.cache_key(F.lit(model), F.lit(version), F.col("raw_query")))

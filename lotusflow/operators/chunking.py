@@ -8,7 +8,7 @@ pass without a shuffle.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,11 +32,27 @@ def count_words(text: str) -> int:
     return len(text.split())
 
 
+def is_list_line(line: str) -> bool:
+    """A line that begins with a bullet, a heading mark or a number."""
+    return _LIST.match(line.strip()) is not None
+
+
 def looks_like_heading(line: str) -> bool:
     """Short, capital or digit first, no closing mark."""
     return bool(line) and count_words(line) <= 10 and len(line) <= 100 and line[-1] not in ".!?;:," and _HEAD_CHAR.match(line) is not None
 
 
+def is_reference_heading(title: str) -> bool:
+    """A title of a section of references."""
+    return title.strip().lower() in REFERENCE_HEADINGS
+
+
+def context_prefix(title: str, path: Sequence[str]) -> str:
+    """The sentence that tells a chunk's document and section."""
+    where = f", specifically the '{' > '.join(path[1:])}' section" if len(path) > 1 else ""
+    return f"This chunk is from the '{title}' document{where}."
+
+
 def sections_of(text: str, title: str) -> list[Section]:
     """(title, level, content) of a text; lines before the first heading have no title.
 
@@ -75,8 +91,7 @@ def blocks_of(content: str) -> list[tuple[bool, str]]:
     for part in content.split("\n\n"):
         part = part.strip()
         if part:
-            lines = [x.strip() for x in part.split("\n") if x.strip()]
-            out.append((all(_LIST.match(x) for x in lines), part))
+            out.append((all(is_list_line(x) for x in part.split("\n") if x.strip()), part))
     return out
 
 
@@ -164,20 +179,24 @@ _CHUNK = pa.schema(
 )
 
 
-def _prefix(title: str, path: list[str]) -> str:
-    where = f", specifically the '{' > '.join(path[1:])}' section" if len(path) > 1 else ""
-    return f"This chunk is from the '{title}' document{where}.\n\n"
-
-
 def chunk_documents(
-    documents: DataFrame, structured: bool = True, limit: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS, with_prefix: bool = True
+    documents: DataFrame,
+    structured: bool = True,
+    limit: int = MAX_TOKENS,
+    overlap: int = OVERLAP_TOKENS,
+    with_prefix: bool = True,
+    sectioner: Callable[[str, str], list[Section]] = sections_of,
+    chunker: Callable[[str], list[str]] | None = None,
 ) -> DataFrame:
     """Chunks of ``(document_id, title, content)`` before validation.
 
     ``structured`` keeps lists whole and names the document and section at the head
     of each chunk; otherwise paragraphs, sentences and windows of words are packed.
-    ``chunk_order`` counts through the document. Null and empty texts give none.
+    ``sectioner`` finds the sections of a text and ``chunker`` cuts the content of one;
+    both can be replaced. ``chunk_order`` counts through the document. Null and empty
+    texts give none.
     """
+    cut = chunker or ((lambda body: structure_pieces(body, limit)) if structured else (lambda body: recursive_pieces(body, limit, overlap)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,13 +204,12 @@ def chunk_documents(
             for key, title, text in zip(*(batch.column(c).to_pylist() for c in ("document_id", "title", "content")), strict=True):
                 title = title or ""
                 order = 0
-                for head, _, body in sections_of(text or "", title):
+                for head, _, body in sectioner(text or "", title):
                     path = [title, head] if head else [title]
-                    pieces = structure_pieces(body, limit) if structured else recursive_pieces(body, limit, overlap)
-                    for piece in pieces:
+                    for piece in cut(body):
                         if structured and with_prefix:
-                            piece = _prefix(title, path) + piece
-                        reference = head.strip().lower() in REFERENCE_HEADINGS if structured else False
+                            piece = f"{context_prefix(title, path)}\n\n{piece}"
+                        reference = structured and is_reference_heading(head)
                         for name, v in zip(rows, (key, order, piece, count_words(piece), path, head, reference), strict=True):
                             rows[name].append(v)
                         order += 1
@@ -206,8 +224,59 @@ def valid_chunks(chunks: DataFrame, least: int = MIN_CHUNK, most: int = MAX_CHUN
     return chunks.where((F.length(T.strip(F.col("content"))) > 0) & F.col("token_count").between(least, most))
 
 
+def enrich_metadata(documents: DataFrame) -> DataFrame:
+    """``metadata`` with title, source and id of the document, where it has no value of that name; null metadata counts as empty."""
+    kept = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
+    own = F.create_map(*[x for c in ("title", "source_id", "document_id") for x in (F.lit(c), F.col(c))])
+    return documents.withColumn("metadata", F.map_concat(kept, F.map_filter(own, lambda k, _: ~F.map_contains_key(kept, k))))
+
+
 def chunk_pipeline(documents: DataFrame, stages: list[Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
     """Normalized documents to valid chunks with ids; any stage can be replaced."""
     for stage in stages or [clean_documents, chunk_documents, valid_chunks]:
         documents = stage(documents)
     return documents.withColumn("id", F.sha2(F.concat_ws("|", "document_id", "chunk_order"), 256))
+
+
+def describe_lines(documents: DataFrame) -> DataFrame:
+    """``(document_id, list_lines, headings, reference_headings)`` of ``(document_id, content)``, as the chunker sees its lines."""
+    names = ("list_lines", "headings", "reference_headings")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: list[list[int]] = [[], [], []]
+            for text in batch.column("content").to_pylist():
+                lines = (text or "").split("\n")
+                counts[0].append(sum(map(is_list_line, lines)))
+                counts[1].append(sum(looks_like_heading(x.strip()) for x in lines))
+                counts[2].append(sum(is_reference_heading(re.sub("^#{1,6}", "", x)) for x in lines))
+            yield pa.RecordBatch.from_arrays([batch.column("document_id"), *(pa.array(c, pa.int64()) for c in counts)], names=["document_id", *names])
+
+    return arrow_map(documents.select("document_id", "content"), run, f"document_id string, {', '.join(f'{n} long' for n in names)}")
+
+
+def window_texts(df: DataFrame, key: str, text: str, limit: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS) -> DataFrame:
+    """``(key, window_no, content)``: the windows of words of each text; a null text counts as empty and gives one empty window."""
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [word_windows(t or "", limit, overlap) for t in batch.column("text").to_pylist()]
+            rows = [i for i, w in enumerate(made) for _ in w]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key).take(pa.array(rows, pa.int64())), pa.array([n for w in made for n in range(len(w))], pa.int64()), pa.array([x for w in made for x in w], pa.string())],
+                names=[key, "window_no", "content"],
+            )
+
+    return arrow_map(df.select(key, F.col(text).alias("text")), run, f"`{key}` {kind}, window_no long, content string")
+
+
+def prefix_chunks(chunks: DataFrame) -> DataFrame:
+    """``(id, prefix)``: the sentence for each chunk ``(id, section_path)``; a path without a document gives none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [context_prefix(p[0], [x for x in p if x is not None]) if p and p[0] is not None else None for p in batch.column("section_path").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(made, pa.string())], names=["id", "prefix"])
+
+    return arrow_map(chunks.select("id", "section_path"), run, "id string, prefix string")

@@ -11,9 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotusflow.functions import text as T
-from lotusflow.functions.fixed import CHARS_PER_TOKEN, INPUT_CHARS, KEEP_TURNS, OUTPUT_TOKENS, SESSION_HOURS, SUMMARY_MARK
+from lotusflow.functions.fixed import (
+    CHARS_PER_TOKEN, INPUT_CHARS, KEEP_TURNS, OUTPUT_TOKENS, SESSION_HOURS, SUMMARY_BEFORE, SUMMARY_MARK, SUMMARY_REQUEST, SUMMARY_TURNS,
+)
 from lotusflow.operators.context import system_message
-from lotusflow.operators.indexing import latest
+from lotusflow.operators.indexing import latest, upsert
+from lotusflow.providers import Writer, write_texts
+from lotusflow.runtime import materialize
 
 #: Tokens of raw history from which a session is compacted.
 THRESHOLD = int(0.7 * KEEP_TURNS * (-(-INPUT_CHARS // CHARS_PER_TOKEN) + OUTPUT_TOKENS))
@@ -118,19 +122,21 @@ def history_turns(turns: DataFrame, compacted: Column | None = None, has_compact
     return whole.unionByName(rest)
 
 
-def history_messages(turns: DataFrame, questions: DataFrame) -> DataFrame:
-    """The message list of each question ``(session_id, question, context)`` as rows.
+def history_messages(turns: DataFrame, questions: DataFrame, compacted: Column | None = None, has_compactor: bool = False) -> DataFrame:
+    """The message list of each question ``(session_id, question, context)`` as rows; see ``history_turns`` for the compactor.
 
     Columns ``session_id, part, turn_no, role, content``, ordered by part (0 system,
     1 summary, 2 raw turns, 3 question), turn number and role (the user first).
     """
+    # Every branch reads the current turns, so they are found once.
+    turns = materialize(turns)
     asked = questions.select("session_id", F.col("question").alias("q"), "context")
     part = lambda df, no, turn, role, content: df.select(
         "session_id", F.lit(no).alias("part"), turn.cast("int").alias("turn_no"), F.lit(role).alias("role"), content.alias("content")
     )
     none = F.lit(0)
     known = latest_summaries(turns).join(asked.select("session_id"), "session_id", "left_semi")
-    raw = history_turns(turns).join(asked.select("session_id"), "session_id", "left_semi")
+    raw = history_turns(turns, compacted, has_compactor).join(asked.select("session_id"), "session_id", "left_semi")
     return (
         part(asked, 0, none, "system", system_message(F.col("context")))
         .unionByName(part(known, 1, none, "user", F.concat(F.lit(SUMMARY_MARK), F.col("summary"))))
@@ -140,6 +146,64 @@ def history_messages(turns: DataFrame, questions: DataFrame) -> DataFrame:
     )
 
 
+def message_pairs(turns: DataFrame) -> DataFrame:
+    """``(id, session_id, turn_no, role, content)``: the user's message of each turn, and the assistant's where there is an answer."""
+    said = F.filter(
+        F.array(F.struct(F.lit("user").alias("role"), F.col("question").alias("content")), F.struct(F.lit("assistant").alias("role"), F.col("answer").alias("content"))),
+        lambda m: (m["role"] == "user") | m["content"].isNotNull(),
+    )
+    return turns.select("id", "session_id", "turn_no", F.explode(said).alias("m")).select("id", "session_id", "turn_no", "m.role", "m.content")
+
+
+def summary_prompts(turns: DataFrame, keep: int = KEEP_TURNS) -> DataFrame:
+    """``(session_id, up_to_turn, old_summary, prompt)``: what the next summary of each session must be written from.
+
+    The prompt holds the summary so far and the completed turns since, in order. A
+    session is summarized in steps, so what meets here is what was added since the
+    last step; the first step of a session holds all but its last turns.
+    """
+    due = turns_to_summarize(turns, keep)
+    line = F.concat(F.lit("User: "), F.coalesce("question", F.lit("")), F.lit("\nAssistant: "), F.coalesce("answer", F.lit("")))
+    ordered = F.array_sort(F.collect_list(F.struct("turn_no", "id", line.alias("line"))))
+    said = due.groupBy("session_id").agg(F.max("turn_no").alias("up_to_turn"), F.array_join(F.transform(ordered, lambda x: x["line"]), "\n\n").alias("said"))
+    known = latest_summaries(turns).select("session_id", F.col("summary").alias("old_summary"))
+    before = F.when(F.coalesce("old_summary", F.lit("")) != "", F.concat(F.lit(SUMMARY_BEFORE), F.col("old_summary"), F.lit("\n\n"))).otherwise("")
+    return said.join(known, "session_id", "left").select(
+        "session_id", "up_to_turn", "old_summary", F.concat(F.lit(SUMMARY_REQUEST), before, F.lit(SUMMARY_TURNS), F.col("said")).alias("prompt")
+    )
+
+
+def compact(turns: DataFrame, writer: Writer, keep: int = KEEP_TURNS) -> DataFrame:
+    """``(session_id, summary, up_to_turn)`` after a compaction of completed turns.
+
+    Sessions with something new get the text of ``writer``; where it fails or gives
+    none, the old summary stays with its turn. Sessions with nothing new keep their
+    summary; those without any give no row. No lock is needed: a session is one row.
+    """
+    asked = write_texts(summary_prompts(turns, keep), "prompt", writer, "written")
+    made = asked.where(F.length(T.strip(F.col("written"))) > 0).select("session_id", T.strip(F.col("written")).alias("summary"), "up_to_turn")
+    old = latest_summaries(turns).select("session_id", "summary", F.col("summary_turn_no").alias("up_to_turn"))
+    return upsert(old, made, ["session_id"])
+
+
+def save_summaries(turns: DataFrame, summaries: DataFrame) -> DataFrame:
+    """The turns with each summary ``(session_id, summary, up_to_turn)`` on the turn it reaches to.
+
+    Of several turns with that number the one with the smallest id takes it.
+    """
+    order = Window.partitionBy("session_id", "turn_no").orderBy("id")
+    place = summaries.select("session_id", F.col("up_to_turn").alias("turn_no"), F.col("summary").alias("new_summary"))
+    marked = turns.join(place, ["session_id", "turn_no"], "left").withColumn("n", F.row_number().over(order))
+    kept = F.when((F.col("n") == 1) & F.col("new_summary").isNotNull(), F.col("new_summary")).otherwise(F.col("summary"))
+    return marked.withColumn("summary", kept).select(*turns.columns)
+
+
+def session_exists(asked: DataFrame, sessions: DataFrame) -> DataFrame:
+    """``(session_id, known)`` of the sessions asked for."""
+    known = sessions.select("session_id").distinct().withColumn("known", F.lit(True))
+    return asked.join(known, "session_id", "left").select("session_id", F.coalesce("known", F.lit(False)).alias("known"))
+
+
 def duplicate_turns(turns: DataFrame) -> DataFrame:
     """``(session_id, turn_no, n)`` of numbers that more than one turn claims; they must be rejected."""
     return turns.groupBy("session_id", "turn_no").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and turn_no is not null")

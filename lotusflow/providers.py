@@ -57,6 +57,21 @@ class EchoWriter:
         return [p.strip().split("\n")[-1] if p.strip() else None for p in prompts]
 
 
+class KeywordJudge:
+    """Judges a prompt by the keywords and the answer in it: the share of keywords the answer has, as fenced JSON."""
+
+    def write(self, prompts: Sequence[str]) -> list[str | None]:
+        out = []
+        for p in prompts:
+            part = lambda mark, p=p: p.split(mark, 1)[-1].split("\n", 1)[0] if mark in p else ""
+            words = [w for w in part("Từ khóa: ").split(", ") if w]
+            answer = part("Trả lời: ").lower()
+            found = sum(w.lower() in answer for w in words)
+            score = 1 + 4 * found // max(1, len(words))
+            out.append(f'```json\n{{"correctness": {score}, "relevance": {5 if answer else 1}, "hallucination": {str(not found).lower()}, "refusal_appropriate": "n/a", "reasoning": "{found}"}}\n```')
+        return out
+
+
 def attempt(call: Callable[[list[str]], list], texts: list[str], tries: int = 3, wait: float = 1.0) -> list:
     """Call with retries, waiting twice as long each time; the last error is raised."""
     for i in range(tries):

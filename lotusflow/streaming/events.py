@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from lotusflow.functions.fixed import FLUSH_CHARS, FLUSH_MS, STEPS
 from lotusflow.runtime import arrow_map
 
+#: The message where nothing was found.
+NO_CONTEXT = "Không tìm thấy thông tin phù hợp."
+
 
 def answer_events(answers: DataFrame) -> DataFrame:
     """``(query_id, seq, type, step, message, data)`` of answers ``(query_id, results, tokens, answer)``.
@@ -25,7 +28,7 @@ def answer_events(answers: DataFrame) -> DataFrame:
     progress = [event("progress", F.lit(s), F.replace(F.lit(m), F.lit("{n}"), F.col("results").cast("string")), none) for s, m in STEPS]
     tokens = F.transform(F.coalesce("tokens", F.array().cast("array<string>")), lambda t: event("token", none, none, t))
     full = F.concat(F.array(*progress), tokens, F.array(event("done", none, none, F.col("answer"))))
-    failed = F.array(*progress[:2], event("error", none, F.lit("Không tìm thấy thông tin phù hợp."), none))
+    failed = F.array(*progress[:2], event("error", none, F.lit(NO_CONTEXT), none))
     stream = F.when(F.coalesce("results", F.lit(0)) > 0, full).otherwise(failed)
     return answers.select("query_id", F.posexplode(stream).alias("seq", "e")).select("query_id", "seq", "e.*")
 
@@ -40,6 +43,32 @@ def payload(kind: Column, step: Column, message: Column, data: Column) -> Column
     )
 
 
+def final_answers(events: DataFrame) -> DataFrame:
+    """``(query_id, ok, answer)``: the first final event of each stream; an error gives its message.
+
+    Streams without a final event give the message for missing context.
+    """
+    end = F.min(F.when(F.col("type").isin("done", "error"), F.struct("seq", (F.col("type") == "done").alias("ok"), F.coalesce(F.when(F.col("type") == "done", F.col("data")), F.col("message")).alias("text"))))
+    met = events.groupBy("query_id").agg(end.alias("e"))
+    return met.select("query_id", F.coalesce("e.ok", F.lit(False)).alias("ok"), F.when(F.col("e").isNull(), F.lit(NO_CONTEXT)).otherwise(F.col("e.text")).alias("answer"))
+
+
+def join_tokens(tokens: DataFrame) -> DataFrame:
+    """``(stream_id, text)``: the tokens ``(stream_id, seq, token)`` of each stream in order; one answer meets, never more."""
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "token")))
+    return tokens.groupBy("stream_id").agg(F.array_join(F.transform(ordered, lambda x: x["token"]), "").alias("text"))
+
+
+def steady_schedule(tokens: DataFrame, first_ms: float, gap_ms: float) -> DataFrame:
+    """Adds ``at_ms`` to tokens ``(stream_id, seq, token)``: the first after ``first_ms``, each next one ``gap_ms`` later."""
+    return tokens.withColumn("at_ms", F.lit(float(first_ms)) + F.col("seq") * float(gap_ms))
+
+
+def bursty_schedule(tokens: DataFrame, burst: int = 5, gap_ms: float = 5.0, pause_ms: float = 60.0) -> DataFrame:
+    """Adds ``at_ms``: bursts of tokens ``gap_ms`` apart, with a pause after each burst."""
+    return tokens.withColumn("at_ms", F.col("seq") * gap_ms + F.floor(F.col("seq") / burst) * pause_ms)
+
+
 def batch_tokens(tokens: DataFrame, chars: int = FLUSH_CHARS, interval_ms: int = FLUSH_MS) -> DataFrame:
     """``(stream_id, batch_no, content)`` of tokens ``(stream_id, seq, at_ms, token)``.
 
