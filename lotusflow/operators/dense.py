@@ -1,9 +1,9 @@
 """Exact dense search of a set of queries against all vectors.
 
 The queries are compared in blocks: a bounded block of query vectors travels to
-every partition, where one matrix product per Arrow batch keeps the best k of each
-query; only those meet in the final ranking. More queries than a block holds are
-answered by further passes.
+every partition, where matrix products of some hundred queries with some thousand
+vectors keep the best k of each query; only those meet in the final ranking. More
+queries than a block holds are answered by further passes.
 """
 
 from __future__ import annotations
@@ -17,11 +17,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotusflow.functions.fixed import LEG_TOP_K
+from lotusflow.operators.topk import BestK, key_array
 from lotusflow.runtime import arrow_map
 
 #: Bytes of query vectors in one pass.
 BLOCK_BYTES = 32 << 20
 
+#: Queries and vectors of one matrix product.
+ROWS, COLUMNS = 512, 4096
+
 
 def cosine(a: str, b: str):
     """Cosine of two array columns as a JVM expression; null for a zero vector."""
@@ -43,32 +47,22 @@ def check_dimension(df: DataFrame, vector: str, dim: int) -> None:
         raise ValueError(f"vectors must have {dim} values")
 
 
-def _score(names: np.ndarray, queries: np.ndarray, key: str, key_type: pa.DataType, dim: int, k: int):
+def _score(names: pa.Array, queries: np.ndarray, key: str, key_type: pa.DataType, dim: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_score = np.full((len(queries), 0), -2.0)
-        best_key: np.ndarray = np.empty((len(queries), 0), dtype=object)
+        whole = pa.types.is_integer(key_type)
+        best = BestK(len(queries), k, whole)
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            keys = np.array(batch.column(key).to_pylist(), dtype=object)
-            for i in range(0, len(x), 4096):
-                part = np.concatenate([best_score, (queries @ x[i : i + 4096].T).round(6)], 1)
-                part_keys = np.concatenate([best_key, np.broadcast_to(keys[i : i + 4096], (len(queries), len(keys[i : i + 4096])))], 1)
-                if part.shape[1] > k:
-                    # Ties at the k-th place must stay: the final ranking breaks them by key.
-                    kth = -np.partition(-part, k - 1, axis=1)[:, k - 1 : k]
-                    width = int((part >= kth).sum(1).max())
-                    top = np.argpartition(-part, min(width, part.shape[1]) - 1, axis=1)[:, :width]
-                    part, part_keys = np.take_along_axis(part, top, 1), np.take_along_axis(part_keys, top, 1)
-                best_score, best_key = part, part_keys
-        if best_score.shape[1]:
-            n = best_score.shape[1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(names, n)), pa.array(best_key.ravel().tolist(), key_type), pa.array(best_score.ravel())],
-                names=["query_id", key, "score"],
-            )
+            keys = key_array(batch.column(key), whole)
+            for i in range(0, len(x), COLUMNS):
+                for q in range(0, len(queries), ROWS):
+                    best.add(q, (queries[q : q + ROWS] @ x[i : i + COLUMNS].T).round(6), keys[i : i + COLUMNS])
+        made = best.table(names, key, key_type)
+        if made.num_rows:
+            yield made
 
     return run
 
@@ -77,23 +71,23 @@ def dense_search(vectors: DataFrame, key: str, vector: str, queries: DataFrame,
     """``(query_id, key, score, rank)``: the k vectors nearest to each query ``(query_id, vector)`` by cosine.
 
     Vectors and queries that are null, zero, hold NaN or have another length take
-    no part. Cosines count to 6 decimals; ties are ordered by key.
+    no part, nor do null keys. Cosines count to 6 decimals; ties are ordered by key.
     """
-    rows = _usable(vectors, vector, dim).select(key, F.col(vector).alias("vector"))
+    rows = _usable(vectors, vector, dim).where(F.col(key).isNotNull()).select(key, F.col(vector).alias("vector"))
     asked = _usable(queries, "vector", dim).select("query_id", "vector")
     kind = dict(rows.dtypes)[key]
-    key_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
+    key_type = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}.get(kind, pa.string())
     block = max(1, BLOCK_BYTES // (8 * dim))
     blocks = max(1, -(-asked.count() // block))
     passes = []
     for b in range(blocks):
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        held = part.toArrow()
+        held = part.toArrow().combine_chunks()
         if not held.num_rows:
             continue
-        q = held.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        q = pa.concat_arrays(held.column("vector").chunks).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
         q = q / np.linalg.norm(q, axis=1, keepdims=True)
-        names = np.array(held.column("query_id").to_pylist())
+        names = pa.concat_arrays(held.column("query_id").chunks)
         passes.append(arrow_map(rows, _score(names, q, key, key_type, dim, k), f"query_id {dict(asked.dtypes)['query_id']}, `{key}` {kind}, score double"))
     if not passes:
         return rows.sparkSession.createDataFrame([], f"query_id {dict(asked.dtypes)['query_id']}, `{key}` {kind}, score double, rank int")

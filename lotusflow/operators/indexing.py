@@ -13,10 +13,14 @@ def not_indexed(chunks: DataFrame, entries: DataFrame) -> DataFrame:
     return chunks.join(entries.select(F.col("chunk_id").alias("id")), "id", "left_anti")
 
 
+def chunks_with_source(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """Adds ``source_id`` to the chunks of known documents; a document of several sources gives its chunks to each."""
+    return chunks.join(documents.select("document_id", "source_id").distinct(), "document_id")
+
+
 def chunks_of_source(chunks: DataFrame, documents: DataFrame, source_id: str) -> DataFrame:
     """Chunks of the documents of one source."""
-    wanted = documents.where(F.col("source_id") == source_id).select("document_id").distinct()
-    return chunks.join(wanted, "document_id", "left_semi")
+    return chunks_with_source(chunks, documents.where(F.col("source_id") == source_id)).select(*chunks.columns)
 
 
 def chunks_by_id(chunks: DataFrame, ids: DataFrame) -> DataFrame:
@@ -49,9 +53,10 @@ def upsert(table: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFra
     return kept.unionByName(changes.select(*table.columns))
 
 
-def storable(entries: DataFrame) -> DataFrame:
-    """Entries with at least one vector."""
-    return entries.where(F.col("dense_vector").isNotNull() | F.col("sparse_vector").isNotNull())
+def storable(entries: DataFrame, dim: int | None = None) -> DataFrame:
+    """Entries with at least one vector, and where ``dim`` is given with none of another length."""
+    some = entries.where(F.col("dense_vector").isNotNull() | F.col("sparse_vector").isNotNull())
+    return some if dim is None else some.where(F.col("dense_vector").isNull() | (F.size("dense_vector") == dim))
 
 
 def remove_keys(table: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -55,6 +55,14 @@ def with_content(ranked: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     return ranked.join(found, key, "left").withColumn("content", F.coalesce("content", F.lit("")))
 
 
+def leg_payloads(dense_leg: DataFrame, sparse_leg: DataFrame, key: str) -> DataFrame:
+    """``(query_id, key, metadata)`` of two legs: the payload of the dense one, or of the sparse one where that is missing or empty."""
+    d = dense_leg.select("query_id", key, F.col("metadata").alias("_dense")).dropDuplicates(["query_id", key])
+    s = sparse_leg.select("query_id", key, F.col("metadata").alias("_sparse")).dropDuplicates(["query_id", key])
+    full = F.when(F.size("_dense") > 0, F.col("_dense"))
+    return d.join(s, ["query_id", key], "full_outer").select("query_id", key, F.coalesce(full, "_sparse", "_dense").alias("metadata"))
+
+
 class Retrieval:
     """Search over texts with vectors: ``(key, content, title, vector)`` and any payload columns."""
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lotusflow.operators import bm25, context, dense, evaluate, indexing, retrieval
 from lotusflow.plans.tables import document_queries, documents, sql, table
+from lotusflow.runtime import shared_folder
 
 DIM = 64
 
@@ -29,19 +30,26 @@ def term_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Size and total weight of the sparse vector of every document with a word."""
+    """The sparse vectors of the documents, one row per document and term id."""
     docs = documents(spark, sf)
     frequencies = bm25.term_frequencies(docs, "doc_id", "text")
-    stats = bm25.corpus_stats(docs, "text")
-    postings = bm25.encode(frequencies, bm25.term_stats(frequencies, stats), stats, "doc_id")
-    return postings.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("weight"), 4).alias("total_weight"))
+    stats = spark.createDataFrame([bm25.corpus_stats(docs, "text").first()], "total_docs long, avg_len double")
+    vocabulary = bm25.with_term_ids(bm25.term_stats(frequencies, stats))
+    vectors = bm25.sparse_vectors(bm25.encode(frequencies, vocabulary, stats, "doc_id"), vocabulary, "doc_id")
+    return vectors.select("doc_id", F.explode("sparse").alias("term_id", "weight")).select("doc_id", "term_id", F.round("weight", 6).alias("weight"))
 
 
 def sparse_search(spark: SparkSession, sf: str) -> DataFrame:
     """The 25 best documents of each query by words."""
-    return bm25.search_texts(documents(spark, sf), "doc_id", "text", document_queries(spark, sf)).select(
-        "query_id", "doc_id", "rank", "score"
-    )
+    return bm25.search_texts(documents(spark, sf), "doc_id", "text", document_queries(spark, sf)).select("query_id", "doc_id", "rank", "score")
+
+
+def indexed_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from an index that is written, extended by a second part of the documents, and read back."""
+    docs = documents(spark, sf)
+    first = bm25.SparseIndex.build(docs.where("doc_id % 2 = 0"), "doc_id", "text").save(shared_folder(spark))
+    whole = first.add(docs.where("doc_id % 2 <> 0"), "text").save(shared_folder(spark))
+    return whole.search(document_queries(spark, sf)).select("query_id", "doc_id", "rank", "score")
 
 
 def dense_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,16 +96,43 @@ def incremental_index(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunks_of_sources(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks per source of the whole tree from source to entry."""
-    docs = table(spark, sf, "raw_documents").select("document_id", "source_id").distinct()
+    """Documents, chunks and entries per source, from the whole tree."""
     chunks = table(spark, sf, "chunks").select("id", "document_id").distinct()
+    found = indexing.chunks_with_source(chunks, table(spark, sf, "raw_documents"))
     entries = table(spark, sf, "index_entries").select(F.col("chunk_id").alias("id")).distinct().withColumn("indexed", F.lit(1))
-    tree = chunks.join(docs, "document_id").join(entries, "id", "left")
-    return tree.groupBy("source_id").agg(
+    return found.join(entries, "id", "left").groupBy("source_id").agg(
         F.count_distinct("document_id").alias("documents"), F.count(F.lit(1)).alias("chunks"), F.count("indexed").alias("entries")
     )
 
 
+def source_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunks of one source."""
+    chunks = table(spark, sf, "chunks").select("id", "document_id", "chunk_order").distinct()
+    first = table(spark, sf, "sources").agg(F.min("id").alias("id")).first()["id"]
+    return indexing.chunks_of_source(chunks, table(spark, sf, "raw_documents"), first)
+
+
+def wanted_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunks that the evaluation retrieved, by id."""
+    chunks = table(spark, sf, "chunks").select("id", "document_id", "chunk_order").distinct()
+    return indexing.chunks_by_id(chunks, table(spark, sf, "eval_results").select(F.explode("retrieved_chunks").alias("id")))
+
+
+def storable_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """The entries a collection takes: with a vector, and of its size."""
+    entries = table(spark, sf, "index_entries").select("chunk_id", "dense_vector", "sparse_vector").dropDuplicates(["chunk_id"])
+    return indexing.storable(entries, DIM).select("chunk_id", F.size("dense_vector").alias("n_dense"), F.size("sparse_vector").alias("n_sparse"))
+
+
+def filtered_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranked lists of two legs with their payload, from the dense leg and else from the sparse one."""
+    e = table(spark, sf, "index_entries").select("chunk_id", "metadata").dropDuplicates(["chunk_id"])
+    ranked = table(spark, sf, "eval_results").select(F.col("id").alias("query_id"), F.posexplode("retrieved_chunks").alias("at", "chunk_id")).distinct()
+    near, words = ranked.where("at % 2 = 0"), ranked.where("at % 2 = 1")
+    legs = retrieval.leg_payloads(near.join(e, "chunk_id"), words.join(e, "chunk_id"), "chunk_id")
+    return legs.select("query_id", "chunk_id", F.col("metadata")["source_id"].alias("source_id")).distinct()
+
+
 def keyed_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """The first half of the events as a table per user and type, changed by the latest of the second half."""
     events = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
@@ -146,8 +181,8 @@ def recall_mrr(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        corpus_stats, term_stats, doc_vectors, sparse_search, dense_search, hybrid_retrieve, rrf_fuse, incremental_index, chunks_of_sources,
-        keyed_upsert, payload_filter, context_build, cited_sources, recall_mrr,
+        corpus_stats, term_stats, doc_vectors, sparse_search, indexed_search, dense_search, hybrid_retrieve, rrf_fuse, incremental_index, chunks_of_sources,
+        source_chunks, wanted_chunks, storable_entries, filtered_results, keyed_upsert, payload_filter, context_build, cited_sources, recall_mrr,
     )
 }
 
@@ -179,7 +214,15 @@ ev AS (SELECT vec_id, CAST(embedding AS DOUBLE[64]) AS v FROM embeddings),
 ORACLES = {
     "corpus_stats": f"WITH {_TF} SELECT n AS total_docs, round(al, 6) AS avg_len FROM st",
     "term_stats": f"WITH {_TF} SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id, df, round(idf, 6) AS idf FROM vo",
-    "doc_vectors": f"WITH {_TF} SELECT doc_id, count(*) AS n_terms, round(sum(w), 4) AS total_weight FROM po GROUP BY doc_id",
+    "doc_vectors": f"""WITH {_TF}, ids AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id FROM vo)
+SELECT doc_id, CAST(term_id AS INTEGER) AS term_id, round(w, 6) AS weight FROM po JOIN ids ON ids.term = po.term""",
+    "indexed_search": f"WITH {_SPARSE}, {_RANKED.replace('@KEEP@', '')} SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, score FROM sr WHERE rank <= 25",
+    "source_chunks": """SELECT DISTINCT c.id, c.document_id, c.chunk_order FROM chunks c JOIN raw_documents r ON r.document_id = c.document_id WHERE r.source_id = (SELECT min(id) FROM sources)""",
+    "wanted_chunks": """SELECT DISTINCT id, document_id, chunk_order FROM chunks WHERE id IN (SELECT unnest(retrieved_chunks) FROM eval_results)""",
+    "storable_entries": """SELECT DISTINCT chunk_id, CAST(len(dense_vector) AS INTEGER) AS n_dense, CAST(cardinality(sparse_vector) AS INTEGER) AS n_sparse FROM index_entries
+WHERE (dense_vector IS NOT NULL OR sparse_vector IS NOT NULL) AND (dense_vector IS NULL OR len(dense_vector) = 64)""",
+    "filtered_results": """WITH r AS (SELECT DISTINCT id AS query_id, unnest(retrieved_chunks) AS chunk_id FROM eval_results)
+SELECT DISTINCT query_id, r.chunk_id, metadata['source_id'] AS source_id FROM r JOIN index_entries e ON e.chunk_id = r.chunk_id""",
     "sparse_search": f"WITH {_SPARSE}, {_RANKED.replace('@KEEP@', '')} SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, score FROM sr WHERE rank <= 25",
     "dense_search": f"""WITH {_DENSE}
 s AS (SELECT q.vec_id AS query_id, e.vec_id, round(array_cosine_similarity(q.v, e.v), 6) AS score FROM ev q, ev e WHERE q.vec_id % 100 = 0)
