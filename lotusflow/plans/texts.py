@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotusflow.functions import text as T
-from lotusflow.operators import chunking
+from lotusflow.operators import chunking, ingest
 from lotusflow.plans.tables import documents, sql, table, turns
+from lotusflow.providers import rewrite_queries
+from lotusflow.sources import files
 
 
 def normalized_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,6 +95,25 @@ def ingest_documents(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def ingest_job(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole way from raw documents to chunks: each document with its checksum and its number of chunks."""
+    raw = table(spark, sf, "raw_documents")
+    counted = ingest.chunk_rows(raw).groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("chunks"))
+    return ingest.document_rows(raw, "indexed").join(counted, "id", "left").select("id", "source_id", "checksum", "status", F.coalesce("chunks", F.lit(0)).alias("chunks"))
+
+
+def rewritten_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """The titles of the documents as queries, rewritten by nobody."""
+    asked = documents(spark, sf).where("title is not null").select("doc_id", F.col("title").alias("query"))
+    return rewrite_queries(asked).select("doc_id", "rewritten_query", "intent")
+
+
+def metadata_json(spark: SparkSession, sf: str) -> DataFrame:
+    """The metadata of the raw documents written as JSON and read again, one row per entry."""
+    text = table(spark, sf, "raw_documents").select("document_id", files.dump_json(F.col("metadata")).alias("j"))
+    return text.select("document_id", F.explode(files.load_json(F.col("j"), "map<string,string>")).alias("name", "value")).distinct()
+
+
 def request_checks(spark: SparkSession, sf: str) -> DataFrame:
     """Turns whose session id or question the service would accept."""
     return turns(spark, sf).groupBy(
@@ -105,7 +126,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         normalized_texts, clean_markup, text_measures, line_kinds, sections, structure_chunks, recursive_chunks, word_windows, context_prefixes,
-        enriched_metadata, valid_chunks, ingest_documents, request_checks,
+        enriched_metadata, valid_chunks, ingest_documents, ingest_job, rewritten_queries, metadata_json, request_checks,
     )
 }
 
@@ -192,7 +213,17 @@ lf AS (SELECT rid, regexp_replace(t, '\r\n?', chr(10), 'g') AS t FROM jo),
 bl AS (SELECT rid, regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM lf),
 normal AS (SELECT DISTINCT document_id, source_id, {_strip("title")} AS title, coalesce({_strip("bl.t")}, '') AS content FROM r LEFT JOIN bl ON bl.rid = r.rid)"""
 
+_INGEST = f"""{_NORMALIZED}, {_SECTIONS.replace("FROM normalized_documents", "FROM normal")}, {_PARAGRAPHS}, {_packed("packed", "para", 300)},
+counted AS (SELECT document_id, {_words("""'This chunk is from the ''' || doc_title || ''' document' || CASE WHEN section_title <> '' THEN ', specifically the ''' || section_title || ''' section' ELSE '' END
+  || '.' || chr(10) || chr(10) || packed.content""")} AS n FROM packed JOIN sid ON sid.key = packed.key)"""
+
 ORACLES = {
+    "ingest_job": f"""WITH RECURSIVE {_INGEST}
+SELECT d.document_id AS id, d.source_id, sha256(coalesce(d.raw_content, '')) AS checksum, 'indexed' AS status, CAST(coalesce(c.chunks, 0) AS BIGINT) AS chunks
+FROM (SELECT DISTINCT document_id, source_id, raw_content FROM raw_documents) d
+LEFT JOIN (SELECT document_id, count(*) AS chunks FROM counted WHERE n BETWEEN 20 AND 2000 GROUP BY document_id) c ON c.document_id = d.document_id""",
+    "rewritten_queries": "SELECT doc_id, trim(regexp_replace(lower(title), '[@B@]+', ' ', 'g')) AS rewritten_query, 'factual' AS intent FROM documents WHERE title IS NOT NULL",
+    "metadata_json": "SELECT DISTINCT document_id, unnest(map_keys(metadata)) AS name, unnest(map_values(metadata)) AS value FROM raw_documents",
     "normalized_texts": f"WITH {_NORMALIZED} SELECT document_id, source_id, title, content FROM normal",
     "clean_markup": rf"WITH {_CLEAN} SELECT document_id, {_strip('t')} AS content FROM f",
     "sections": f"WITH {_SECTIONS} SELECT document_id, section_no, section_title, level, content FROM sec",

@@ -14,7 +14,10 @@ from typing import Protocol
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from lotusflow.functions import text as T
+from lotusflow.functions.fixed import REWRITE_REQUEST, SUITE_REQUEST
 from lotusflow.runtime import arrow_map
 
 
@@ -72,6 +75,45 @@ class KeywordJudge:
         return out
 
 
+def rewrite_queries(queries: DataFrame, writer: Writer | None = None) -> DataFrame:
+    """Adds ``rewritten_query`` and ``intent`` to ``(query, ...)``.
+
+    Without a writer, and where it fails, the normalized query stands as it is with the
+    default intent.
+    """
+    plain = queries.withColumn("_normal", T.normalize_query(F.col("query")))
+    if writer is None:
+        asked = plain.withColumn("_written", F.lit(None).cast("string"))
+    else:
+        asked = write_texts(plain.withColumn("_ask", F.concat(F.lit(REWRITE_REQUEST), F.col("_normal"))), "_ask", writer, "_written").drop("_ask")
+    made = F.from_json(T.fenced_json(F.col("_written")), "rewritten_query string, intent string")
+    return asked.withColumn("_made", made).select(
+        *queries.columns, F.coalesce("_made.rewritten_query", "_normal").alias("rewritten_query"), F.coalesce("_made.intent", F.lit("factual")).alias("intent")
+    )
+
+
+def chat_prompt(messages: DataFrame) -> DataFrame:
+    """``(session_id, prompt)`` of message rows ``(session_id, part, turn_no, role, content)``: the system message first, then the others in order.
+
+    What meets is one prompt, which the history keeps below its budget.
+    """
+    line = F.concat(F.col("role"), F.lit(": "), F.coalesce("content", F.lit("")))
+    place = F.struct("part", "turn_no", F.when(F.col("role") == "assistant", 1).otherwise(0).alias("second"), line.alias("line"))
+    return messages.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["line"]), "\n\n").alias("prompt"))
+
+
+def suggest(answers: DataFrame, writer: Writer, limit: int = 4) -> DataFrame:
+    """Adds ``suggestions`` to ``(question, answer)``: the lines the writer gives; a failure gives none."""
+    asked = answers.withColumn("_ask", F.concat_ws("\n", "question", "answer"))
+    made = write_texts(asked, "_ask", writer, "_written")
+    return made.withColumn("suggestions", F.coalesce(T.suggestion_lines(F.col("_written"), limit), F.array().cast("array<string>"))).drop("_ask", "_written")
+
+
+def suite_prompt(corpus: str, examples: str) -> str:
+    """What a writer of evaluation suites is asked."""
+    return f"{SUITE_REQUEST}{corpus}\n\n{examples}"
+
+
 def attempt(call: Callable[[list[str]], list], texts: list[str], tries: int = 3, wait: float = 1.0) -> list:
     """Call with retries, waiting twice as long each time; the last error is raised."""
     for i in range(tries):
