@@ -169,9 +169,9 @@ def cited_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def recall_mrr(spark: SparkSession, sf: str) -> DataFrame:
-    """Recall and reciprocal rank of the chunks retrieved for the evaluation, by keywords."""
+    """Recall and reciprocal rank of the chunks retrieved for the evaluation; the first keyword stands for the expected context."""
     results = table(spark, sf, "eval_results").select("id", "expected_keywords", "retrieved_chunks").distinct()
-    cases = results.select(F.col("id").alias("case_id"), F.col("expected_keywords").alias("keywords"), F.lit("").alias("context"))
+    cases = results.select(F.col("id").alias("case_id"), F.slice("expected_keywords", 2, 1000).alias("keywords"), F.get("expected_keywords", F.lit(0)).alias("context"))
     ranked = results.select(F.col("id").alias("case_id"), F.posexplode("retrieved_chunks").alias("at", "chunk_id"))
     texts = table(spark, sf, "chunks").select(F.col("id").alias("chunk_id"), "content").dropDuplicates(["chunk_id"])
     found = ranked.join(texts, "chunk_id").select("case_id", (F.col("at") + 1).alias("rank"), "content")
@@ -267,11 +267,11 @@ c AS (SELECT DISTINCT id, content, section_title FROM chunks),
 r AS (SELECT id, unnest(retrieved_chunks) AS chunk_id, generate_subscripts(retrieved_chunks, 1) AS rank FROM e)
 SELECT u.id AS query_id, '[' || n || ']' AS citation, c.section_title AS title, CAST(length(c.content) AS BIGINT) AS n_content
 FROM u JOIN r ON r.id = u.id AND CAST(r.rank AS VARCHAR) = u.n JOIN c ON c.id = r.chunk_id WHERE r.rank <= 5""",
-    "recall_mrr": """WITH e AS (SELECT DISTINCT id, expected_keywords AS kw, retrieved_chunks FROM eval_results),
+    "recall_mrr": """WITH e AS (SELECT DISTINCT id, expected_keywords[2:] AS kw, expected_keywords[1] AS ctx, retrieved_chunks FROM eval_results),
 c AS (SELECT DISTINCT id, content FROM chunks),
 r AS (SELECT id, unnest(retrieved_chunks) AS chunk_id, generate_subscripts(retrieved_chunks, 1) AS rank FROM e),
 h AS (SELECT r.id, count(*) AS hits, min(rank) AS first FROM r JOIN c ON c.id = r.chunk_id JOIN e ON e.id = r.id
-      WHERE rank <= 5 AND len(list_filter(kw, lambda k: contains(lower(content), lower(k)))) > 0 GROUP BY r.id)
+      WHERE rank <= 5 AND (len(list_filter(kw, lambda k: contains(lower(content), lower(k)))) > 0 OR (ctx <> '' AND contains(lower(content), lower(ctx)))) GROUP BY r.id)
 SELECT e.id AS case_id, round(CASE WHEN hits IS NULL THEN 0.0 WHEN len(kw) > 0 THEN least(1.0, hits / len(kw)) ELSE 1.0 END, 6) AS recall,
        round(coalesce(1.0 / first, 0.0), 6) AS mrr FROM e LEFT JOIN h ON h.id = e.id""",
 }

@@ -115,11 +115,10 @@ def metadata_json(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def request_checks(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns whose session id or question the service would accept."""
-    return turns(spark, sf).groupBy(
-        F.coalesce(T.is_session_id(F.col("session_id")), F.lit(False)).alias("good_session"),
-        F.coalesce(T.is_question(F.col("question")), F.lit(False)).alias("good_question"),
-    ).agg(F.count(F.lit(1)).alias("n"))
+    """Whether the service would accept the session id and the question of each turn."""
+    return turns(spark, sf).select(
+        "id", F.coalesce(T.is_session_id(F.col("session_id")), F.lit(False)).alias("good_session"), F.coalesce(T.is_question(F.col("question")), F.lit(False)).alias("good_question")
+    ).distinct()
 
 
 QUERIES = {
@@ -263,8 +262,8 @@ THEN ''' document, specifically the ''' || array_to_string(section_path[2:], ' >
     "valid_chunks": """SELECT DISTINCT id, CAST(n AS INTEGER) AS token_count FROM (SELECT id, len(regexp_extract_all(content, '[^@B@]+')) AS n FROM chunks) WHERE n BETWEEN 20 AND 2000""",
     "ingest_documents": """SELECT DISTINCT document_id, source_id, sha256(coalesce(raw_content, '')) AS checksum,
 CASE WHEN document_id IN (SELECT document_id FROM chunks) THEN 'indexed' ELSE 'pending' END AS status FROM raw_documents""",
-    "request_checks": r"""SELECT coalesce(regexp_matches(session_id, '\A[A-Za-z0-9_-]{8,64}\z'), false) AS good_session,
-coalesce(length(question) BETWEEN 1 AND 500, false) AS good_question, count(*) AS n FROM chat_turns GROUP BY 1, 2""",
+    "request_checks": r"""SELECT DISTINCT id, coalesce(regexp_matches(session_id, '\A[A-Za-z0-9_-]{8,64}\z'), false) AS good_session,
+coalesce(length(question) BETWEEN 1 AND 500, false) AS good_question FROM chat_turns""",
     "line_kinds": rf"""WITH l AS (SELECT document_id, unnest(string_split(content, chr(10))) AS line FROM (SELECT DISTINCT document_id, title, content FROM normalized_documents)),
 s AS (SELECT document_id, {_strip("line")} AS t, lower({_strip("regexp_replace(line, '^#{1,6}', '')")}) AS h FROM l)
 SELECT document_id, CAST(count_if(regexp_matches(t, '^([*#\-]|\p{{Nd}}+[.)][@B@])')) AS BIGINT) AS list_lines,

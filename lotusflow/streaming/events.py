@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from lotusflow.functions.fixed import FLUSH_CHARS, FLUSH_MS, STEPS
-from lotusflow.runtime import arrow_map
+from lotusflow.runtime import arrow_map, ship
 
 #: The message where nothing was found.
 NO_CONTEXT = "Không tìm thấy thông tin phù hợp."
@@ -69,46 +71,89 @@ def bursty_schedule(tokens: DataFrame, burst: int = 5, gap_ms: float = 5.0, paus
     return tokens.withColumn("at_ms", F.col("seq") * gap_ms + F.floor(F.col("seq") / burst) * pause_ms)
 
 
+class Batcher:
+    """Gathers the tokens of one stream into batches."""
+
+    def __init__(self, chars: int, interval_ms: float, held: str = "", opened: float | None = None, number: int = 0) -> None:
+        self.chars, self.interval_ms = chars, interval_ms
+        self.held, self.opened, self.number = held, opened, number
+
+    def flush(self, now: float | None = None) -> list[tuple[int, str]]:
+        """What is held as a batch, if anything is."""
+        out = [(self.number, self.held)] if self.held else []
+        self.number += len(out)
+        self.held, self.opened = "", now
+        return out
+
+    def add(self, at: float, token: str | None) -> list[tuple[int, str]]:
+        """The batches that a token at a time completes."""
+        if self.opened is None:
+            self.opened = at
+        due = lambda: self.held and at - self.opened >= self.interval_ms
+        out = self.flush(at) if due() else []
+        self.held += token or ""
+        return out + (self.flush(at) if len(self.held) >= self.chars or due() else [])
+
+
 def batch_tokens(tokens: DataFrame, chars: int = FLUSH_CHARS, interval_ms: int = FLUSH_MS) -> DataFrame:
     """``(stream_id, batch_no, content)`` of tokens ``(stream_id, seq, at_ms, token)``.
 
     A batch is flushed when it has ``chars`` characters, when the next token comes
     ``interval_ms`` or more after the last flush, and at the end. Rows of a stream
-    are read in order from a sorted partition, one row at a time.
+    are read in order from a sorted partition, one row at a time. A stream of tokens is
+    batched the same way, and a timer flushes what no further token follows.
     """
+    ordered = tokens.select(F.col("stream_id").cast("string"), F.col("seq").cast("long"), F.col("at_ms").cast("double"), "token")
+    schema = "stream_id string, batch_no int, content string"
+    if tokens.isStreaming:
+        ship(tokens.sparkSession)
+        return ordered.groupBy("stream_id").applyInPandasWithState(
+            _stateful(chars, interval_ms), schema, "held string, opened double, number int", "append", "ProcessingTimeTimeout"
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream, held, opened, number = None, "", 0.0, 0
+        stream, batcher = None, Batcher(chars, interval_ms)
         out: list[tuple] = []
 
-        def flush(now: float) -> None:
-            nonlocal held, opened, number
-            if held:
-                out.append((stream, number, held))
-                number += 1
-            held, opened = "", now
+        def made() -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))], names=["stream_id", "batch_no", "content"])
+            out.clear()
+            return rows
 
         for batch in batches:
             for s, at, token in zip(*(batch.column(c).to_pylist() for c in ("stream_id", "at_ms", "token")), strict=True):
                 if s != stream:
-                    flush(0.0)
-                    stream, opened, number = s, at, 0
-                elif held and at - opened >= interval_ms:
-                    flush(at)
-                held += token or ""
-                if len(held) >= chars or (held and at - opened >= interval_ms):
-                    flush(at)
+                    out += [(stream, *b) for b in batcher.flush()]
+                    stream, batcher = s, Batcher(chars, interval_ms)
+                out += [(s, *b) for b in batcher.add(at, token)]
             if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))], names=["stream_id", "batch_no", "content"]
-                )
-                out.clear()
-        flush(0.0)
+                yield made()
+        out += [(stream, *b) for b in batcher.flush()]
         if out:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))], names=["stream_id", "batch_no", "content"]
-            )
+            yield made()
 
-    ordered = tokens.select(F.col("stream_id").cast("string"), "seq", F.col("at_ms").cast("double"), "token")
     ordered = ordered.repartition("stream_id").sortWithinPartitions("stream_id", "seq").select("stream_id", "at_ms", "token")
-    return arrow_map(ordered, run, "stream_id string, batch_no int, content string")
+    return arrow_map(ordered, run, schema)
+
+
+#: Milliseconds after which an idle stream is forgotten.
+IDLE_MS = 600_000
+
+
+def _stateful(chars: int, interval_ms: float):
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        batcher = Batcher(chars, interval_ms, *(state.get if state.exists else ("", None, 0)))
+        if state.hasTimedOut and not batcher.held:
+            state.remove()
+            return
+        if state.hasTimedOut:
+            out = batcher.flush()
+        else:
+            rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
+            out = [b for at, token in zip(rows["at_ms"], rows["token"], strict=True) for b in batcher.add(at, token)]
+        state.update((batcher.held, batcher.opened, batcher.number))
+        state.setTimeoutDuration(max(1, int(interval_ms)) if batcher.held else IDLE_MS)
+        if out:
+            yield pd.DataFrame({"stream_id": [key[0]] * len(out), "batch_no": [n for n, _ in out], "content": [c for _, c in out]})
+
+    return run

@@ -178,6 +178,24 @@ def test_stream_ends_and_tokens(spark):
     assert [r.at_ms for r in events.steady_schedule(five, 100, 2).orderBy("seq").collect()][:2] == [100, 102]
 
 
+def test_a_stream_of_tokens_is_batched_with_a_timer(spark, tmp_path):
+    rows = [("a", i, float(i), f"token{i} ") for i in range(9)] + [("b", 0, 0.0, "short")]
+    schema = "stream_id string, seq int, at_ms double, token string"
+    df = spark.createDataFrame(rows, schema)
+    df.coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    made = events.batch_tokens(spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in"))
+    query = made.writeStream.format("memory").queryName("batched").option("checkpointLocation", f"file://{tmp_path}/check").trigger(processingTime="200 milliseconds").start()
+    try:
+        want = sorted(map(tuple, events.batch_tokens(df).collect()))
+        for _ in range(120):
+            if sorted(map(tuple, spark.table("batched").collect())) == want:
+                break
+            query.awaitTermination(0.25)
+        assert sorted(map(tuple, spark.table("batched").collect())) == want and query.exception() is None
+    finally:
+        query.stop()
+
+
 def test_an_index_is_written_and_grows(spark, tmp_path):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["hồ xanh", "hồ núi núi", "", None, "biển xanh xanh"])], "doc long, text string")
     asked = spark.createDataFrame([(1, "xanh hồ"), (2, "không có"), (None, "hồ"), (3, None)], "query_id int, query string")
