@@ -237,6 +237,11 @@ _WORDS = re.compile(r"[^\W\d_]+")
 _STUB = re.compile(r"\n\s*(?:\d+[.)]|[-*•])\s*$")
 _LIST = re.compile(r"\s*(?:\d+[.)]|[-*•])\s")
 _ASKED = re.compile("|".join(f"(?P<{k}>{v})" for k, v in ASKED.items()), re.IGNORECASE)
+#: A question that names a language has one of these; the pattern is tried only then.
+_ASK_HINTS = tuple(
+    "tiếng tieng english french german spanish russian chinese mandarin japanese korean vietnamese italian portuguese dutch polish indonesian malay turkish"
+    " swedish danish norwegian czech thai arabic hindi khmer".split()
+)
 _TERMINAL, _NEWLINE, _HANGING, _OPEN, _CLOSE, _OTHER, _WORD, _NUMBER = range(8)
 _KIND = {c: _TERMINAL for c in ".!?。！？…؟"}
 _KIND |= {c: _HANGING for c in ",;:-–—*/&+、，：；"}
@@ -426,7 +431,8 @@ class Clauses:
         sure = asked.max(1, initial=0) > 0.9
         allowed[np.flatnonzero(sure), asked[sure].argmax(1)] = True
         for i, q in enumerate(qs):
-            for m in _ASKED.finditer(q):
+            low = q.lower()
+            for m in _ASKED.finditer(q) if any(w in low for w in _ASK_HINTS) else ():
                 allowed[i, LANGUAGES.index(m.lastgroup)] = True
         open_row = ~allowed.any(1)
         # Words shared by languages count for each of them, and once among the words heard.
