@@ -43,7 +43,7 @@ from lotusflow.llm.common import arrow_map, table
 SAMPLE_ROWS = 150_000
 
 #: Vectors in a posting list before replication, on average.
-LIST_SIZE = 800
+LIST_SIZE = 1200
 
 #: Sampled vectors a centroid is fitted on, and vectors of one coarse cell a worker clusters at most.
 PER_CENTROID, CELL_SAMPLE = 64, 65_536
